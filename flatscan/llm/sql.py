@@ -30,10 +30,10 @@ n as (
   from m where len(found) > 0),
 u as (select * exclude (found, gaps), found, gaps, unnest(range(1, len(found) + 1)) as k from n),
 s as (
-  select rid, id, label, priority, confidence, base, coalesce(list_sum(gaps[1:k]), 0) + coalesce(list_sum(found[1:k - 1]), 0) as at, found[k] as n from u),
-e as (select *, at + n as upto, max(at + n) over (partition by rid order by at, -(at + n), priority, id rows between unbounded preceding and 1 preceding) as before from s),
+  select rid, id, label, priority, confidence, base, coalesce(list_sum(gaps[1:k]), 0) + coalesce(list_sum(found[1:k - 1]), 0) as pos, found[k] as n from u),
+e as (select *, pos + n as upto, max(pos + n) over (partition by rid order by pos, -(pos + n), priority, id rows between unbounded preceding and 1 preceding) as before from s),
 d as (
-  select rid, count(*) filter (base) as n_base, min(at) filter (base) as first_word, max(at) filter (base) as last_word,
+  select rid, count(*) filter (base) as n_base, min(pos) filter (base) as first_word, max(pos) filter (base) as last_word,
     list_sort(list_distinct(list(label) filter (base))) as base_labels,
     list_sort(list_distinct(list(label) filter (base or before is null or upto > before))) as labels,
     max(confidence) filter (before is null or upto > before) as score
