@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .license_scan import license_scan
+from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .url_filters import url_filters
 
@@ -19,6 +20,11 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(docs).drop("text")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters(pages).select("page_id", "host", "path", "rule", "verdict")
