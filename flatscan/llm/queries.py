@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import decontamination
 from .license_scan import license_scan
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
@@ -15,6 +16,11 @@ from .url_filters import url_filters
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan(docs).drop("text")
