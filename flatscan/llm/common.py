@@ -53,3 +53,30 @@ def text_bytes(df: DataFrame, column: str) -> int:
 
 def pieces_for(total: int, each: int, least: int = 1) -> int:
     return max(least, -(-total // each))
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) of every node with an edge in (a, b): root is the least node that it is connected to.
+
+    Each round points a node at its least neighbour, links its other neighbours
+    to that one, and follows one more pointer. Rounds grow with the logarithm of
+    a component's diameter. Only distributed joins and aggregates; nothing is
+    gathered but two numbers a round.
+    """
+    a, b = F.col("a"), F.col("b")
+    now = checkpoint(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+    state = None
+    for _ in range(most_rounds):
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
+        if seen == state:
+            return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").unionByName(
+                now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            )
+        state = seen
+        least = now.groupBy("a").agg(F.min("b").alias("m"))
+        star = now.join(least, "a")
+        star = star.select("a", F.col("m").alias("b")).unionByName(star.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        star = checkpoint(star.distinct())
+        ahead = star.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b")
+        now = checkpoint(star.join(ahead, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
+    raise RuntimeError("components did not settle")
