@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_dir, table
 from .decontamination import decontamination
 from .license_scan import license_scan
 from .near_duplicates import near_duplicates
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .url_filters import url_filters
+from .warc import read_archive, write_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +24,12 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = new_dir(spark, "warc")
+    write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), uri)
+    return read_archive(spark, uri).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan(docs).drop("text")

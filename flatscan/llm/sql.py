@@ -11,6 +11,21 @@ def _text(s: object) -> str:
     return "'" + str(s).replace("'", "''") + "'"
 
 
+def op4() -> str:
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    five = "cast('0x' || substr(h, 5 * i + 1, 5) as int)"
+    quad = " || ".join(f"substr({letters}, (({five} >> {shift}) & 31) + 1, 1)" for shift in (15, 10, 5, 0))
+    return f"""
+with a as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h from pages),
+b as (select *, max(page_id) over (partition by h) as newest from a)
+select page_id, cast(octet_length(encode(t)) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(8), lambda i: {quad}), '') as payload_digest,
+  case when newest is null or page_id = newest then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from newest then newest end as refers_to
+from b
+"""
+
+
 def op5() -> str:
     rules = ",\n".join(
         f"({i}, {_text(r.label)}, {_text(' ' + r.keyword + ' ')}, {_text(r.regex)}, {r.priority}, {r.confidence}, {r.base})" for i, r in enumerate(ls.RULES)
@@ -96,4 +111,4 @@ select *, not base_failed and not ({_failed(qr.METHOD)}) as kept from v
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scans": op5(), "op8_url_filters": op8(), "op9_quality_rules": op9()}
+    return {"op4_warc": op4(), "op5_license_scans": op5(), "op8_url_filters": op8(), "op9_quality_rules": op9()}
