@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import new_dir, table
 from .decontamination import decontamination
 from .license_scan import license_scan
+from .line_dedup import line_dedup
 from .near_duplicates import near_duplicates
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
@@ -19,6 +20,11 @@ from .warc import read_archive, write_archive
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination(docs, table(spark, sf_dir, "benchmark"))
