@@ -14,12 +14,18 @@ from .line_dedup import line_dedup
 from .near_duplicates import near_duplicates
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
+from .substring_dedup import substring_dedup
 from .url_filters import url_filters
 from .warc import read_archive, write_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -5,12 +5,28 @@ from __future__ import annotations
 from . import license_scan as ls
 from . import quality_rules as qr
 from . import url_filters as uf
+from .common import WORD
+from .substring_dedup import WINDOW
 
 
 def _text(s: object) -> str:
     return "'" + str(s).replace("'", "''") + "'"
 
 
+def op1() -> str:
+    return rf"""
+with a as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as words from documents),
+g as (select rid, doc_id, unnest(range(1, len(words) - {WINDOW - 2})) as i, words from a),
+h as (select rid, i, doc_id, min(doc_id) over (partition by words[i:i + {WINDOW - 1}]) as first from g),
+r as (select rid, list(distinct i + k) as gone from h, range({WINDOW}) as x(k) where first < doc_id group by rid),
+k as (
+  select rid, doc_id, len(words) as n, len(coalesce(gone, [])) as m,
+    list_filter(words, lambda w, i: not list_contains(coalesce(gone, []), i)) as kept
+  from a left join r using (rid))
+select doc_id, cast(n as bigint) as n_words, cast(m as bigint) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
+"""
+
+
 def op4() -> str:
     letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
     five = "cast('0x' || substr(h, 5 * i + 1, 5) as int)"
@@ -111,4 +127,4 @@ select *, not base_failed and not ({_failed(qr.METHOD)}) as kept from v
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": op4(), "op5_license_scans": op5(), "op8_url_filters": op8(), "op9_quality_rules": op9()}
+    return {"op1_substring_dedup": op1(), "op4_warc": op4(), "op5_license_scans": op5(), "op8_url_filters": op8(), "op9_quality_rules": op9()}
