@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,15 @@ from .decontamination import decontamination
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .near_duplicates import near_duplicates
+from .pieces import decode, encode
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .url_filters import url_filters
 from .warc import read_archive, write_archive
 
+#: A SentencePiece model with byte fallback; a parameter of the operator.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -66,5 +70,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).drop("text")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decode(encode(docs, PIECE_MODEL), PIECE_MODEL)
+    return out.select(
+        "doc_id",
+        F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"),
+        F.xxhash64("pieces").alias("pieces_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
