@@ -70,24 +70,31 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, ...: sorted or small numbers then compress."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(packed: list[bytes], kind: type) -> np.ndarray:
+    each = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).reshape(-1) for x in packed]
+    return np.concatenate(each) if each else np.empty(0, kind)
+
+
 def _deal(parts: int, key: np.ndarray, *columns: np.ndarray) -> list[Message]:
-    """Messages to the parts that own the keys: key, first column, all further columns one after the other."""
-    part = (key % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    part, rows = part[order], [c[order] for c in (key, *columns)]
+    """Messages to the parts that own ranges of keys; keys come sorted."""
+    part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(part)) + 1
     out = []
     for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True):
         if a < b:
-            own = [c[a:b].tobytes() for c in rows]
-            out.append((int(part[a]), own[0], own[1] if len(own) > 1 else b"", b"".join(own[2:])))
+            own = [_pack(c[a:b]) for c in (key, *columns)]
+            out.append((int(part[a]), own[0], own[1], b"".join(own[2:])))
     return out
 
 
 def _split(bodies: list[Body]) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all messages, and the message of each."""
-    keys = [np.frombuffer(a, np.uint64) for a, _, _ in bodies]
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    """The keys of all messages, and where each message starts among them."""
+    return _unpack([a for a, _, _ in bodies], np.uint64), np.cumsum([0, *(len(a) // 8 for a, _, _ in bodies)])
 
 
 def _has(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -98,30 +105,28 @@ def _has(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def shared_halves(at: list[int], bodies: list[Body]) -> list[Message]:
     """Which half windows stand in more than one document."""
-    key, source = _split(bodies)
-    low = np.concatenate([np.frombuffer(b, np.int64) for _, b, _ in bodies])
-    high = np.concatenate([np.frombuffer(c, np.int64) for _, _, c in bodies])
+    key, cuts = _split(bodies)
+    low = _unpack([b for _, b, _ in bodies], np.int64)
+    high = low + _unpack([c for _, _, c in bodies], np.int64)
     order, starts = _groups(key, low)
     shared = np.minimum.reduceat(low[order], starts) < np.maximum.reduceat(high[order], starts)
     yes = np.zeros(len(key), bool)
-    yes[order] = np.repeat(shared, np.diff([*starts, len(key)]))
-    cuts = np.searchsorted(source, np.arange(len(bodies) + 1))
-    return [(block, own.tobytes(), b"", b"") for block, a, b in zip(at, cuts, cuts[1:], strict=False) if len(own := key[a:b][yes[a:b]])]
+    yes[order] = np.repeat(shared, np.diff(np.append(starts, len(key))))
+    return [(block, _pack(own), b"", b"") for block, a, b in zip(at, cuts, cuts[1:], strict=False) if len(own := key[a:b][yes[a:b]])]
 
 
 def first_documents(at: list[int], bodies: list[Body]) -> list[Message]:
     """The least document of each whole window, to the blocks where a later document has it."""
-    key, source = _split(bodies)
-    second = np.concatenate([np.frombuffer(b, np.uint64) for _, b, _ in bodies])
-    both = [np.frombuffer(c, np.int64).reshape(2, -1) for _, _, c in bodies]
-    low, high = (np.concatenate([x[i] for x in both]) for i in (0, 1))
+    key, cuts = _split(bodies)
+    second = _unpack([b for _, b, _ in bodies], np.uint64)
+    low = _unpack([c[: len(c) // 2] for _, _, c in bodies], np.int64)
+    high = low + _unpack([c[len(c) // 2 :] for _, _, c in bodies], np.int64)
     order, starts = _groups(key, second, low)
     first = np.empty(len(key), np.int64)
-    first[order] = np.repeat(np.minimum.reduceat(low[order], starts), np.diff([*starts, len(key)]))
+    first[order] = np.repeat(np.minimum.reduceat(low[order], starts), np.diff(np.append(starts, len(key))))
     yes = first < high
-    cuts = np.searchsorted(source, np.arange(len(bodies) + 1))
     return [
-        (block, key[a:b][own].tobytes(), second[a:b][own].tobytes(), first[a:b][own].tobytes())
+        (block, _pack(key[a:b][own]), _pack(second[a:b][own]), _pack(first[a:b][own]))
         for block, a, b in zip(at, cuts, cuts[1:], strict=False)
         if (own := yes[a:b]).any()
     ]
@@ -131,7 +136,7 @@ def removed_windows(w: Windows, got: list[Body]) -> np.ndarray:
     """Which windows an earlier document has."""
     if not got or not len(w.at):
         return np.zeros(len(w.at), bool)
-    key, second, first = (np.concatenate([np.frombuffer(x[i], t) for x in got]) for i, t in ((0, np.uint64), (1, np.uint64), (2, np.int64)))
+    key, second, first = (_unpack([x[i] for x in got], t) for i, t in ((0, np.uint64), (1, np.uint64), (2, np.int64)))
     order = np.argsort(key, kind="stable")
     key, second, first = key[order], second[order], first[order]
     own, own_second = w.whole()
@@ -169,11 +174,11 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", win
         order, starts = _groups(key, doc)
         ends = np.append(starts[1:], len(order)) - 1
         doc = doc[order]
-        return _deal(parts, key[order][starts], doc[starts], doc[ends])
+        return _deal(parts, key[order][starts], doc[starts], doc[ends] - doc[starts])
 
     def wholes(ids: np.ndarray, texts: list[bytes | None], got: list[Body]) -> list[Message]:
         w = Windows(ids, texts, window)
-        yes = _has(np.sort(np.concatenate([np.frombuffer(a, np.uint64) for a, _, _ in got])), w.least_halves())
+        yes = _has(np.sort(_unpack([a for a, _, _ in got], np.uint64)), w.least_halves())
         first, second = (x[yes] for x in w.whole())
         doc = w.doc[yes]
         order, starts = _groups(first, second, doc)
@@ -181,7 +186,7 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", win
             return []
         ends = np.append(starts[1:], len(order)) - 1
         doc = doc[order]
-        return _deal(parts, first[order][starts], second[order][starts], doc[starts], doc[ends])
+        return _deal(parts, first[order][starts], second[order][starts], doc[starts], doc[ends] - doc[starts])
 
     def remove(ids: np.ndarray, texts: list[bytes | None], got: list[Body]) -> dict[str, pa.Array]:
         w = Windows(ids, texts, window)

@@ -150,6 +150,10 @@ def write_archive(
     written. An empty table gives an archive without files.
     """
     spark = pages.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    hadoop = path(uri).getFileSystem(spark._jsc.hadoopConfiguration())
+    if hadoop.exists(path(f"{uri}/{MANIFEST}")):
+        raise FileExistsError(f"{uri} has a manifest already")
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     src = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), body.alias("payload")).withColumn("sha", F.sha1("payload"))
     total = src.agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("bytes")).head()
@@ -191,10 +195,8 @@ def write_archive(
     # the manifest is written beside its place and gets its name in one step
     temporary = f"{uri}/_temporary-{uuid.uuid4().hex}"
     dealt.mapInArrow(write, MANIFEST_SCHEMA).write.parquet(temporary)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    hadoop = path(uri).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not hadoop.rename(path(temporary), path(f"{uri}/{MANIFEST}")):
-        raise OSError(f"{uri} has a manifest already")
+    if hadoop.exists(path(f"{uri}/{MANIFEST}")) or not hadoop.rename(path(temporary), path(f"{uri}/{MANIFEST}")):
+        raise FileExistsError(f"{uri} has a manifest already")
     return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{uri}/{MANIFEST}")
 
 

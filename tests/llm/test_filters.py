@@ -1,0 +1,194 @@
+"""License scans, URL filters, quality rules and the classifier."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from flatscan.llm import license_scan as ls
+from flatscan.llm.quality_classifier import Features, coordinate_descent, fit, held_out, log_count_ratio, quality_classifier, score
+from flatscan.llm.quality_rules import METHOD, WINDOW, Threshold, quality_rules
+from flatscan.llm.url_filters import RULES, url_filters
+
+DOCS = "doc_id long, text string, hits string, score string, k int"
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(texts)], DOCS)
+
+
+def words_of(text):
+    return [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower().encode())]
+
+
+TEXTS = [
+    None,
+    "",
+    " \n",
+    "MIT License",
+    "Released under the M.I.T. License, mit\nlicense! mitt license, gnu GENERAL-public license",
+    "cc by cc by cc bye Apache License",
+    "x " * 20_000 + "Licensed under the Apache License, Version 2.0.",
+    "été GNU Lesser General Public License v2.1 and GNU General Public License, version 3.",
+    "This file is CC BY-NC 4.0; all rights reserved. Copyright (c) 2020",
+    "MIT License " * 300,
+]
+
+
+def test_license_base_equals_brute_force(spark):
+    got = ls.license_scan(docs(spark, TEXTS)).orderBy("doc_id").collect()
+    for r, t in zip(got, TEXTS, strict=True):
+        w = words_of(t)
+        places = [(p, label) for phrase, label in ls.BASE for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()]
+        at = [p for p, _ in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(at, default=None), max(at, default=None)), t
+        assert r.base_labels == ",".join(sorted({x for _, x in places}))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) | {""}
+        assert 0 <= r.score <= 1 and r.hits == "x"
+
+
+def test_license_rules_resolve_overlaps(spark):
+    got = {r.doc_id: r for r in ls.license_scan(docs(spark, TEXTS)).collect()}
+    assert got[6].labels == "apache,apache-2.0" and got[6].score == 1.0
+    # the long name holds the short one's words, which isn't a detection of its own
+    assert got[7].labels == "gpl,gpl-3.0,lgpl-2.1"
+    assert got[8].labels == "all-rights-reserved,cc-by,cc-by-nc-4.0,copyright-notice"
+    assert got[1].score == 0.0 and got[0].labels == ""
+    assert len(ls.RULES) > 200 and all(" " not in r.keyword for r in ls.RULES)
+
+
+def test_every_license_rule_needs_its_keyword():
+    for r in ls.RULES:
+        # a word of the keyword stands in each alternative that the regex names outright
+        assert r.keyword in r.regex or "licen" in r.regex, r
+
+
+def test_license_scan_of_nothing(spark):
+    assert ls.license_scan(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def brute_url(url, rules, default="allow"):
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+    host = "".join(c.lower() if c.isascii() else c for c in m[1]) if m else ""
+    path = m[2] if m else ""
+    fits = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return host, path, best[3] if best else None, best[4] if best else default
+
+
+URLS = [None, "", "no scheme", "http://", "http://Example.ORG", "http://example.org/", "https://a.b.example.org/es/1?x#y", "http://example.org/es", "http://xexample.org/es/", "ftp://org/q", "http://a.com/fr/1", "http://a.com/de/", "http://a.com/", "x://example.org/en/12://b.com/de/", "http://é.org/fr/", "http://a..org/", "http://a.org./", "http://a.com#/de/", "http://u@a.com:80/de/"]
+
+
+@pytest.mark.parametrize("partition", [200_000, 7])
+def test_url_filters_equal_brute_force(spark, monkeypatch, partition):
+    monkeypatch.setattr("flatscan.llm.url_filters.ROWS_PER_PARTITION", partition)
+    draw = random.Random(1)
+    urls = URLS + [f"http://{draw.choice(['', 'm.', 'x.y.'])}{draw.choice(['example.org', 'a.com', 'com', 'b.net'])}/{draw.choice(['es', 'en/1', 'fr', 'de', ''])}/{draw.randint(0, 3)}" for _ in range(150)]
+    rules = [*RULES, ("block", "b.net", "/"), ("allow", "b.net", "/fr/"), ("block", "b.net", "/fr/1"), ("allow", "b.net", "/fr/1"), ("allow", "m.b.net", ""), ("block", "com", "/fr/é")]
+    table = spark.createDataFrame([(i % 100 if i % 9 else None, u, "kept") for i, u in enumerate(urls)], "page_id long, url string, id string")
+    got = url_filters(table, rules).select("url", "host", "path", "rule", "verdict", "id").collect()
+    want = [(u, *brute_url(u, rules), "kept") for u in urls]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_url_filters_of_nothing(spark):
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert url_filters(empty).collect() == []
+    one = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
+    none = spark.createDataFrame([], "verdict string, host string, path string")
+    assert [(r.rule, r.verdict) for r in url_filters(one, none, default="block").collect()] == [(None, "block")]
+
+
+def brute_quality(t):
+    t = t or ""
+    w = [x.decode() for x in t.encode().split()]
+    grams = [tuple(w[i : i + WINDOW]) for i in range(len(w) - WINDOW + 1)]
+    covered = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(WINDOW)}
+    lines = [x for x in t.split("\n") if x.encode().split()]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_metrics_equal_brute_force(spark):
+    draw = random.Random(2)
+    texts = [None, "", "a", "é\u00a0b\u2028c\x1cd", "\n\n", "x\nx\n \nx", "a " * 8, "a " * 9, "a b " * 40, "#*$%&|<> word"]
+    texts += ["\n".join(" ".join(draw.choices("ab", k=draw.randint(0, 12))) for _ in range(draw.randint(1, 8))) for _ in range(40)]
+    got = quality_rules(docs(spark, texts)).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        want = brute_quality(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, t
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert not (r.base_failed and r.kept) and r.hits == "x"
+
+
+def test_thresholds_are_a_table(spark):
+    table = (Threshold("few_lines", "n_lines", low=2),)
+    got = quality_rules(docs(spark, ["a b", "a\nb", None]), base=(), method=table).orderBy("doc_id").collect()
+    assert [r.kept for r in got] == [False, True, False]
+    assert all(x.low is not None or x.high is not None for x in METHOD)
+
+
+def labelled(spark, n=400):
+    draw = random.Random(4)
+    good = [f"w{i}" for i in range(50)]
+    rows, labels = [], []
+    for i in range(n):
+        y = int(draw.random() < 0.7)
+        w = draw.choices(good, k=draw.randint(5, 40))
+        rows.append((i, " ".join(w) if y else " ".join(x.upper() + "!!" for x in w)))
+        labels.append((i, y))
+    return rows, labels
+
+
+def test_classifier_learns_and_scores_every_row(spark):
+    rows, labels = labelled(spark)
+    rows += [(1000, None), (1001, ""), (None, "w1 w2"), (5, rows[5][1])]
+    table = spark.createDataFrame([(i, t, 0.5, "x") for i, t in rows], "doc_id long, text string, score double, own string")
+    marks = spark.createDataFrame([*labels, (3, None), (None, 1), (9999, 0)], "doc_id long, quality int")
+    got = quality_classifier(table, marks).collect()
+    assert len(got) == len(rows)
+    truth = dict(labels)
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert len(held) > 40 and np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.97
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.own == "x" for r in got)
+    assert [r.held_out for r in got if r.doc_id is None] == [True]
+
+
+def test_held_out_labels_teach_nothing(spark):
+    rows, labels = labelled(spark, 200)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int").withColumn("h", held_out(F.col("doc_id")))
+    turned = marks.withColumn("quality", F.when(F.col("h"), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = fit(table, marks), fit(table, turned)
+    assert np.array_equal(a.weights, b.weights) and (a.bias, a.slope, a.offset) == (b.bias, b.slope, b.offset)
+
+
+def test_classifier_without_labels_or_rows(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality_classifier(empty, none).collect() == []
+    one = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert score(one, fit(one, none)).head().score == 0.5
+
+
+def test_sample_is_bounded(spark):
+    rows, labels = labelled(spark, 200)
+    table, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    small, whole = fit(table, marks, max_rows=20), fit(table, marks)
+    assert (small.weights != 0).sum() < (whole.weights != 0).sum()
+
+
+def test_indicators_are_sets():
+    own, ids = Features().of([b"a b", b"", b"a a a a a a"])
+    assert set(own.tolist()) == {0, 2}
+    assert len(set(zip(own.tolist(), ids.tolist(), strict=True))) == len(own)
+
+
+def test_coordinate_descent_separates():
+    rows = [np.array([0, 2]), np.array([1, 2]), np.array([0]), np.array([1])]
+    y = np.array([1.0, -1, 1, -1])
+    ratio = log_count_ratio(rows, y, 3)
+    w, b = coordinate_descent(rows, y, ratio, c=10)
+    assert all(np.sign((ratio * w)[x].sum() + b) == label for x, label in zip(rows, y, strict=True))
