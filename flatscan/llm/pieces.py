@@ -204,7 +204,7 @@ class Lattice:
             draw = (mix(seed + np.uint64(len(steps) + 1)) >> np.uint64(11)) * 2.0**-53
             edge = np.searchsorted(self.upto, node + draw, side="right")
             # rounding can make the sum reach the next node's
-            edge -= self.upto[np.maximum(edge - 1, 0)] >= node + 1
+            edge -= (edge > 0) & (self.upto[edge - 1] >= node + 1)
             steps.append((live, self.piece[edge]))
             node = self.start[edge]
             count[live] += 1
