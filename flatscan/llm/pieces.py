@@ -12,6 +12,7 @@ and the draw's, so a row is segmented alike in each run and on each executor.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +28,10 @@ from .words import chunks, mix
 
 #: White space of the vocabulary; inside this module it is a plain space.
 MARK = "▁".encode()
+#: Bytes of a UTF-8 character by its first byte.
+WIDTH = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16, np.int32)
 UNIT = re.compile(rb" *[^ \n]+| +|\n")
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 @dataclass
@@ -40,15 +43,35 @@ class Vocabulary:
     byte_ids: np.ndarray  # the id of each single byte's piece
     first: np.ndarray  # state after one byte, or -1
     second: np.ndarray  # state after two bytes, or -1
-    keys: np.ndarray  # state * 256 + byte, sorted
-    states: np.ndarray  # the state that a key leads to
+    base: np.ndarray  # a state's row in the two next tables starts here
+    owner: np.ndarray  # the state whose row a slot is in
+    target: np.ndarray  # where the slot's byte leads
     ends: np.ndarray  # the piece that ends in a state, or -1
     longest: int
 
     def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        key = state.astype(np.int64) * 256 + byte
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.states[at], -1)
+        slot = self.base[state] + byte
+        return np.where(self.owner[slot] == state, self.target[slot], -1)
+
+
+def _displaced(nodes: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a sparse table, each moved to a place where its entries meet free slots; the largest rows first."""
+    size = 256
+    while size < 5 * sum(map(len, nodes)):
+        size *= 2
+    draw, taken = random.Random(0), bytearray(size + 256)
+    base = np.zeros(len(nodes), np.int32)
+    owner, target = np.full((2, size + 256), -1, np.int32)
+    for state in sorted(range(len(nodes)), key=lambda s: -len(nodes[s])):
+        row = nodes[state]
+        at = draw.randrange(size)
+        while any(taken[at + c] for c in row):
+            at = draw.randrange(size)
+        base[state] = at
+        for c, t in row.items():
+            taken[at + c] = 1
+            owner[at + c], target[at + c] = state, t
+    return base, owner, target
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -93,15 +116,13 @@ def vocabulary(path: str) -> Vocabulary:
                 ends.append(-1)
             state = after
         ends[state] = i
-    edges = sorted((s * 256 + c, t) for s, x in enumerate(nodes) for c, t in x.items())
     first = np.full(256, -1, np.int32)
     second = np.full(65536, -1, np.int32)
     for c, t in nodes[0].items():
         first[c] = t
         for d, u in nodes[t].items():
             second[c * 256 + d] = u
-    keys, states = (np.array(x) for x in zip(*edges, strict=True))
-    return Vocabulary(parts, weight, byte_ids, first, second, keys, states.astype(np.int32), np.array(ends, np.int32), max(map(len, parts)))
+    return Vocabulary(parts, weight, byte_ids, first, second, *_displaced(nodes), np.array(ends, np.int32), max(map(len, parts)))
 
 
 @dataclass
@@ -121,24 +142,24 @@ class Lattice:
     @classmethod
     def of(cls, words: list[bytes], v: Vocabulary, theta: float) -> Lattice:
         text = np.frombuffer(b"".join(words), np.uint8)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        stop = np.cumsum(size)
-        word = np.repeat(np.arange(len(words)), size)
-        left = np.repeat(stop, size) - np.arange(len(text))
-        heads = np.flatnonzero((text & 0xC0) != 0x80)
-        width = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16, np.int64)[text[heads]]
-        single = np.zeros(len(text), bool)
+        size = np.fromiter(map(len, words), np.int32, len(words))
+        stop = np.cumsum(size, dtype=np.int32)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        left = np.repeat(stop, size) - np.arange(len(text), dtype=np.int32)
+        heads = np.flatnonzero((text & 0xC0) != 0x80).astype(np.int32)
+        width = WIDTH[text]
+        bare = np.zeros(len(text), bool)
+        bare[heads] = True
         found = []
         at, state = heads, v.first[text[heads]]
         for n in range(1, v.longest + 1):
             if n == 2:
-                live = left[at] >= 2
-                at = at[live]
-                state = v.second[text[at].astype(np.int64) * 256 + text[at + 1]]
+                at = at[left[at] >= 2]
+                state = v.second[text[at].astype(np.int32) * 256 + text[at + 1]]
             elif n > 2:
                 live = left[at] >= n
-                at, state = at[live], state[live]
-                state = v.step(state, text[at + n - 1])
+                at = at[live]
+                state = v.step(state[live], text[at + n - 1])
             if n > 1:
                 live = state >= 0
                 at, state = at[live], state[live]
@@ -148,29 +169,30 @@ class Lattice:
             if not len(at):
                 break
             whole = ends >= 0
-            found.append((at[whole], np.full(int(whole.sum()), n), ends[whole]))
-        for a, n, _ in found[:4]:
-            if len(n):
-                single[a[width[np.searchsorted(heads, a)] == n]] = True
+            found.append((at[whole], n, ends[whole]))
+            if n <= 4:
+                bare[found[-1][0][width[found[-1][0]] == n]] = False
         # characters without a piece of their own go byte by byte
-        bare = ~single[heads]
-        lone = np.concatenate([[False], np.repeat(bare, width)])[1:] if len(heads) else np.zeros(0, bool)
-        at = np.flatnonzero(lone[: len(text)])
-        found.append((at, np.ones(len(at), np.int64), v.byte_ids[text[at]]))
-        at, n, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        lone = np.flatnonzero(np.repeat(bare[heads], width[heads])[: len(text)]).astype(np.int32)
+        found.append((lone, 1, v.byte_ids[text[lone]]))
+        at = np.concatenate([x[0] for x in found])
+        n = np.repeat(np.array([x[1] for x in found], np.int32), [len(x[0]) for x in found])
+        piece = np.concatenate([x[2] for x in found])
         # a word of n bytes has n + 1 nodes
-        begin = stop - size + np.arange(len(words))
-        start = at + word[at]
-        order = np.argsort(start + n, kind="stable")
-        start, n, piece = start[order], n[order], piece[order].astype(np.int32)
-        end, owner = start + n, word[at[order]]
+        begin = stop - size + np.arange(len(words), dtype=np.int32)
+        order = np.argsort(at + n + word[at], kind="stable")
+        at, n, piece = at[order], n[order], piece[order]
+        owner = word[at]
+        start = at + owner
+        end = start + n
         weight = theta * v.weight[piece]
         sums = np.full(len(text) + len(words), -np.inf)
         sums[begin] = 0
         # places of equal distance from their word's start, from left to right
         far = end - begin[owner]
-        by = np.argsort(far, kind="stable")
-        cuts = np.searchsorted(far[by], np.arange(1, (int(far.max()) if len(far) else 0) + 2))
+        longest = int(far.max()) if len(far) else 0
+        by = np.argsort(far.astype(np.uint16) if longest < 1 << 16 else far, kind="stable")
+        cuts = np.searchsorted(far[by], np.arange(1, longest + 2))
         for a, b in zip(cuts, cuts[1:], strict=False):
             e = by[a:b]
             if not len(e):
