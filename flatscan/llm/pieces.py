@@ -31,7 +31,7 @@ MARK = "▁".encode()
 #: Bytes of a UTF-8 character by its first byte.
 WIDTH = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16, np.int32)
 UNIT = re.compile(rb" *[^ \n]+| +|\n")
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 3 << 18
 
 
 @dataclass
@@ -256,14 +256,16 @@ def encode_texts(texts: list[bytes], keys: list, v: Vocabulary, theta: float, se
     return pieces, np.diff(upto)
 
 
-def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text", out: str = "pieces", theta: float = 1.0, seed: int = 0) -> DataFrame:
+def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text", out: str = "pieces", theta: float = 1.0, seed: int = 0, decoded: str | None = None) -> DataFrame:
     """docs with ``out``: the piece ids of a segmentation drawn for the row's id.
 
     theta sharpens the distribution: weights are taken to that power. A null text
     has null pieces, an empty one has none. Rows with equal ids and texts get
-    equal pieces, null ids too. A column named ``out`` is replaced.
+    equal pieces, null ids too. A column named ``out`` is replaced. Where
+    ``decoded`` names a column, it gets what decoding makes of the pieces, in the
+    same pass.
     """
-    docs = docs.drop(out)
+    docs = docs.drop(out, *([decoded] if decoded else []))
     v = vocabulary(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,10 +274,14 @@ def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text",
                 part = batch.slice(first, len(texts))
                 ids, n = encode_texts(texts, part[id].to_pylist(), v, theta, seed)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(ids), mask=part[text].is_null())
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, out])
+                null = part[text].is_null()
+                made = {out: pa.ListArray.from_arrays(offsets, pa.array(ids), mask=null)}
+                if decoded:
+                    made[decoded] = _strings(decode_ids(ids, n, v), null)
+                yield pa.RecordBatch.from_arrays([*part.columns, *made.values()], [*part.schema.names, *made])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, ArrayType(IntegerType(), False))]))
+    added = [StructField(out, ArrayType(IntegerType(), False))] + ([StructField(decoded, StringType())] if decoded else [])
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def decode_ids(ids: np.ndarray, counts: np.ndarray, v: Vocabulary) -> list[bytes]:
@@ -290,6 +296,10 @@ def decode_ids(ids: np.ndarray, counts: np.ndarray, v: Vocabulary) -> list[bytes
     return [data[a + data.startswith(b" ", a, b) : b] for a, b in zip(upto, upto[1:], strict=False)]
 
 
+def _strings(texts: list[bytes], null: pa.Array) -> pa.Array:
+    return pa.array([None if bad else t.decode("utf-8", "replace") for t, bad in zip(texts, null.to_pylist(), strict=True)], pa.string())
+
+
 def decode(docs: DataFrame, model: str, pieces: str = "pieces", out: str = "decoded") -> DataFrame:
     """docs with ``out``: the text of the piece ids.
 
@@ -304,8 +314,7 @@ def decode(docs: DataFrame, model: str, pieces: str = "pieces", out: str = "deco
         for batch in batches:
             lists = batch[pieces]
             counts = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-            texts = decode_ids(lists.flatten().to_numpy(), counts, v)
-            texts = [None if bad else t.decode("utf-8", "replace") for t, bad in zip(texts, lists.is_null().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+            texts = _strings(decode_ids(lists.flatten().to_numpy(), counts, v), lists.is_null())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, StringType())]))

@@ -13,7 +13,7 @@ from .decontamination import decontamination
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .near_duplicates import near_duplicates
-from .pieces import decode, encode
+from .pieces import encode
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
@@ -72,7 +72,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, PIECE_MODEL), PIECE_MODEL)
+    out = encode(docs, PIECE_MODEL, decoded="decoded")
     return out.select(
         "doc_id",
         F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"),

@@ -134,6 +134,8 @@ def test_samples_depend_on_the_key_alone(spark):
     key = lambda r: (str(r.doc_id), str(r.pieces))
     assert sorted(map(key, a)) == sorted(map(key, b))
     assert all(r.text == r.decoded for r in a) and [r.pieces for r in a if r.doc_id == 99] == [None]
+    both = encode(table, MODEL, decoded="decoded").collect()
+    assert sorted(map(key, a)) == sorted(map(key, both)) and all(r.text == r.decoded for r in both)
     fox = {str(r.pieces) for r in a if r.text and r.text.startswith("the quick")}
     assert len(fox) == 1
     assert {str(r.pieces) for r in encode(table, MODEL, seed=1).collect()} != {str(r.pieces) for r in a}
