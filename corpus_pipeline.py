@@ -14,7 +14,7 @@ from flatscan.llm.common import new_dir, table
 from flatscan.llm.decontamination import decontaminate
 from flatscan.llm.line_dedup import line_dedup
 from flatscan.llm.near_duplicates import keep_one
-from flatscan.llm.pieces import decode, encode
+from flatscan.llm.pieces import encode
 from flatscan.llm.quality_classifier import fit, score
 from flatscan.llm.queries import PIECE_MODEL
 
@@ -46,7 +46,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, pieces, lossless): a sampled segmentation of each document, and whether it decodes to the text."""
-    out = decode(encode(docs.select("doc_id", "text"), PIECE_MODEL), PIECE_MODEL)
+    out = encode(docs.select("doc_id", "text"), PIECE_MODEL, decoded="decoded")
     n = F.coalesce(F.size("pieces"), F.lit(0)).cast("long")
     return out.select("doc_id", n.alias("n_pieces"), "pieces", F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
 
