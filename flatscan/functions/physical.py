@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column as SparkColumn
@@ -56,9 +58,9 @@ def physical_value(c: SparkColumn, e: Element) -> SparkColumn:
     if m.kind == "DECIMAL":
         return (c.cast(f"decimal(38,{m.scale})") * F.lit(10**m.scale)).cast(plain)
     if not m.signed and m.width >= 32:
-        half, whole = 1 << (m.width - 1), 1 << m.width
+        half, whole = (F.lit(Decimal(1 << b)) for b in (m.width - 1, m.width))
         wide = c.cast("decimal(38,0)")
-        return F.when(wide >= F.lit(half).cast("decimal(38,0)"), wide - F.lit(whole).cast("decimal(38,0)")).otherwise(wide).cast(plain)
+        return F.when(wide >= half, wide - whole).otherwise(wide).cast(plain)
     return c.cast(plain)
 
 
