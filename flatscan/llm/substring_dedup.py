@@ -1,12 +1,13 @@
 """Substring dedup: windows of words that an earlier document has too.
 
-Levels of doubled length. The first looks at half windows, and only at the least
-half window (by hash) of each whole one, which is about a quarter of all places:
-a whole window can only occur twice if its least half does. Whole windows around
-halves that several documents share are the second level; with ``grow`` the
-lengths double on, each time only where both halves of a longer window were
-repeated, until no candidate is left. A level asks the parts that own its
-hashes and hears back which are repeated (see blocks).
+Levels of doubled length, up to the window's. At each level but the last, a whole
+window stands for one of its parts of that level's length, the least by hash; the
+choice depends on the words alone, so equal windows choose equal parts, and parts
+chosen by neighbouring windows are mostly the same place. Only windows whose part
+occurs in more than one document are extended to the next level's length; a block
+that has none left sends nothing on. The last level compares whole windows. A
+level asks the parts that own its hashes and hears back which are repeated (see
+blocks).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .blocks import BLOCK_BYTES, Blocks, Message, answer
 from .words import BASES, hash_texts, inside, ngrams, owners
 
 WINDOW = 13
+#: The first level's parts are about this many words long, or the window if that is shorter.
+LEAST = 7
 
 Body = tuple[bytes, bytes, bytes]
 
@@ -47,10 +50,9 @@ class Windows:
         self.owner = own[self.at]
         self.doc = ids[self.owner]
 
-    def least_halves(self) -> np.ndarray:
-        """The least hash among the half windows in each window."""
-        half = (self.window + 1) // 2
-        return sliding_min(ngrams(self.hashes, half), self.window - half + 1)[self.at]
+    def least_parts(self, length: int) -> np.ndarray:
+        """The least hash among the parts of this length in each window."""
+        return sliding_min(ngrams(self.hashes, length), self.window - length + 1)[self.at]
 
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of each window."""
@@ -58,6 +60,14 @@ class Windows:
         return first, second
 
 
+def levels(window: int, least: int = LEAST) -> list[int]:
+    """Lengths that double up to the window's, which is the last."""
+    out = [window]
+    while out[0] > least:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by keys, and where a new combination of all but the last key starts in it."""
     order = np.lexsort(keys[::-1])
@@ -103,8 +113,8 @@ def _has(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)] == x
 
 
-def shared_halves(at: list[int], bodies: list[Body]) -> list[Message]:
-    """Which half windows stand in more than one document."""
+def shared_parts(at: list[int], bodies: list[Body]) -> list[Message]:
+    """Which parts of windows stand in more than one document."""
     key, cuts = _split(bodies)
     low = _unpack([b for _, b, _ in bodies], np.int64)
     high = low + _unpack([c for _, _, c in bodies], np.int64)
@@ -163,22 +173,34 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     blocks = Blocks(docs, id, text, block_bytes)
     parts = blocks.count
 
-    def halves(ids: np.ndarray, texts: list[bytes | None]) -> list[Message]:
-        w = Windows(ids, texts, window)
-        key = w.least_halves()
-        if not len(key):
-            return []
-        # neighbours mostly have the same least half
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (w.owner[1:] != w.owner[:-1])])
-        key, doc = key[new], w.doc[new]
-        order, starts = _groups(key, doc)
-        ends = np.append(starts[1:], len(order)) - 1
-        doc = doc[order]
-        return _deal(parts, key[order][starts], doc[starts], doc[ends] - doc[starts])
-
-    def wholes(ids: np.ndarray, texts: list[bytes | None], got: list[Body]) -> list[Message]:
+    parts_first = levels(window)[:-1]
+
+    def survivors(w: Windows, length: int | None, got: list[Body]) -> np.ndarray:
+        """The windows whose part of the last level's length is repeated."""
+        if length is None:
+            return np.ones(len(w.at), bool)
+        return _has(np.sort(_unpack([a for a, _, _ in got], np.uint64)), w.least_parts(length))
+
+    def level(length: int, before: int | None):  # noqa: ANN202
+        def send(ids: np.ndarray, texts: list[bytes | None], got: list[Body] = ()) -> list[Message]:
+            w = Windows(ids, texts, window)
+            yes = survivors(w, before, got)
+            key, doc, owner = w.least_parts(length)[yes], w.doc[yes], w.owner[yes]
+            if not len(key):
+                return []
+            # neighbours mostly have the same least part
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+            key, doc = key[new], doc[new]
+            order, starts = _groups(key, doc)
+            ends = np.append(starts[1:], len(order)) - 1
+            doc = doc[order]
+            return _deal(parts, key[order][starts], doc[starts], doc[ends] - doc[starts])
+
+        return send
+
+    def wholes(ids: np.ndarray, texts: list[bytes | None], got: list[Body] = ()) -> list[Message]:
         w = Windows(ids, texts, window)
-        yes = _has(np.sort(_unpack([a for a, _, _ in got], np.uint64)), w.least_halves())
+        yes = survivors(w, parts_first[-1] if parts_first else None, got)
         first, second = (x[yes] for x in w.whole())
         doc = w.doc[yes]
         order, starts = _groups(first, second, doc)
@@ -212,8 +234,12 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", win
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         }
 
-    shared = answer(blocks.send(halves), shared_halves)
-    firsts = answer(blocks.send_again(shared, wholes), first_documents)
+    shared, before = None, None
+    for length in parts_first:
+        fn = level(length, before)
+        shared = answer(blocks.send(fn) if shared is None else blocks.send_again(shared, fn), shared_parts)
+        before = length
+    firsts = answer(blocks.send(wholes) if shared is None else blocks.send_again(shared, wholes), first_documents)
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     extra = StructType([StructField(text, StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("spans", ArrayType(span))])
     out = blocks.finish(firsts, remove, extra)

@@ -7,7 +7,7 @@ import pytest
 
 from flatscan.llm.line_dedup import chunk_ends, chunks_of, line_dedup
 from flatscan.llm.near_duplicates import depth_for, keep_one, near_duplicates, verify
-from flatscan.llm.substring_dedup import substring_dedup
+from flatscan.llm.substring_dedup import levels, substring_dedup
 
 SCHEMA = "doc_id long, text string, n_words string, part int, block int, key string"
 
@@ -49,7 +49,7 @@ def brute_substring(rows, k=13):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("window", [13, 4])
+@pytest.mark.parametrize("window", [13, 4, 20])
 def test_substring_dedup_equals_brute_force(spark, seed, window):
     rows = corpus(seed)
     got = substring_dedup(spark.createDataFrame(rows_of(rows), SCHEMA), window=window, block_bytes=500).collect()
@@ -62,6 +62,10 @@ def test_substring_dedup_equals_brute_force(spark, seed, window):
     assert {r.part for r in got} == {1} and {r.key for r in got} == {"k"}
 
 
+def test_levels_double_up_to_the_window():
+    assert levels(13) == [7, 13] and levels(20) == [5, 10, 20] and levels(100) == [7, 13, 25, 50, 100] and levels(4) == [4]
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
     assert substring_dedup(spark.createDataFrame(rows_of([(1, None)]), SCHEMA)).head().text is None
