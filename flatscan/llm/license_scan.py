@@ -170,6 +170,7 @@ def build_rules() -> tuple[Rule, ...]:
 
 RULES = build_rules()
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+IS_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def gate(rules: tuple[Rule, ...]) -> str:

@@ -9,7 +9,9 @@ been compared.
 
 from __future__ import annotations
 
+import hashlib
 import struct
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +24,27 @@ from .blocks import BLOCK_BYTES, Blocks, Message, answer
 MEAN_LINES = 3
 WINDOW = 2
 LEAST_LINES = 2
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
+BASE = 1_000_003
+BITS = 32
+
+
+def line_hash(line: bytes) -> int:
+    """The first four bytes of a line's MD5, which SQL has too."""
+    return int.from_bytes(hashlib.md5(line, usedforsecurity=False).digest()[:4], "big")
 
 
 def chunk_ends(lines: list[bytes], mean: int = MEAN_LINES, window: int = WINDOW) -> list[int]:
-    """Where chunks end: line numbers, each after the last line of a chunk."""
-    ends, held = [], []
+    """Where chunks end: line numbers, each after the last line of a chunk.
+
+    Lines before the first count as lines of hash zero.
+    """
+    ends, held = [], deque([0] * window, maxlen=window)
     for i, line in enumerate(lines, 1):
-        held = [*held[1 - window :], xxhash.xxh3_64_intdigest(line)] if window > 1 else [xxhash.xxh3_64_intdigest(line)]
+        held.append(line_hash(line))
         roll = 0
         for h in held:
-            roll = (roll * _BASE + h) & _MASK
-        if (roll ^ roll >> 32) % mean == 0:
+            roll = (roll * BASE + h) % (1 << BITS)
+        if (roll >> 8) % mean == 0:
             ends.append(i)
     if not ends or ends[-1] < len(lines):
         ends.append(len(lines))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from . import decontamination as dc
 from . import license_scan as ls
+from . import line_dedup as ld
 from . import quality_rules as qr
 from . import url_filters as uf
 from .common import WORD
@@ -27,6 +29,76 @@ select doc_id, cast(n as bigint) as n_words, cast(m as bigint) as n_removed, sha
 """
 
 
+def op2() -> str:
+    return f"""
+with a as (select row_number() over () as rid, doc_id, text, string_split(text, chr(10)) as lines from documents),
+l as (select rid, doc_id, unnest(lines) as line, unnest(range(len(lines))) as i, len(lines) as n from a where text is not null),
+h as (select *, cast('0x' || substr(md5(line), 1, 8) as hugeint) as h from l),
+r as (select *, (coalesce(lag(h) over (partition by rid order by i), 0) * {ld.BASE} + h) % {1 << ld.BITS} as roll from h),
+e as (select *, case when (roll // 256) % {ld.MEAN_LINES} = 0 then 1 else 0 end as stop from r),
+c as (select *, coalesce(sum(stop) over (partition by rid order by i rows between unbounded preceding and 1 preceding), 0) as chunk from e),
+g as (
+  select rid, doc_id, chunk, min(i) as start, count(*) as size, string_agg(line, chr(10) order by i) as body
+  from c group by all having count(*) >= {ld.LEAST_LINES}),
+f as (
+  select rid, chunk, coalesce(doc_id, 9223372036854775807) as d, start,
+    min((coalesce(doc_id, 9223372036854775807), start)) over (partition by body) as first
+  from g where regexp_matches(body, '{WORD}')),
+x as (select rid, chunk from f where (d, start) > first),
+k as (
+  select c.rid, count(*) as n_lines, count(x.chunk) as n_removed, string_agg(line, chr(10) order by i) filter (x.chunk is null) as kept
+  from c left join x on c.rid = x.rid and c.chunk = x.chunk group by c.rid)
+select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed,
+  case when text is not null then sha256(coalesce(kept, '')) end as kept_sha256
+from a left join k using (rid)
+"""
+
+
+def _shingled(table: str, id: str) -> str:
+    """(rid, id, pos, sh): five-word shingles of lower-cased words without ASCII punctuation."""
+    return rf"""
+  select rid, {id}, pos, array_to_string(words[pos + 1:pos + {dc.SHINGLE}], ' ') as sh, len(words) - {dc.SHINGLE - 1} as n
+  from (select rid, {id}, words, unnest(range(len(words) - {dc.SHINGLE - 1})) as pos
+    from (select row_number() over () as rid, {id}, regexp_extract_all(lower(coalesce(text, '')), '{ls.IS_WORD}') as words from {table}))"""
+
+
+def op3() -> str:
+    return f"""
+with d as ({_shingled('documents', 'doc_id')}),
+i as ({_shingled('benchmark', 'item_id')}),
+ic as (select rid as irid, any_value(item_id) as item_id, sh, count(*) as c, any_value(n) as n from i group by rid, sh),
+pairs as (select distinct d.rid, irid, ic.n as m, d.n as dn, doc_id, item_id from d join ic on d.sh = ic.sh where d.n >= ic.n),
+w as (select *, unnest(range(dn - m + 1)) as start from pairs),
+s as (
+  select w.rid, w.irid, start, m, any_value(w.doc_id) as doc_id, any_value(w.item_id) as item_id, d.sh, count(*) as c
+  from w join d on d.rid = w.rid and d.pos >= start and d.pos < start + m group by w.rid, w.irid, start, m, d.sh),
+j as (
+  select s.rid, s.irid, start, any_value(s.doc_id) as doc_id, any_value(s.item_id) as item_id, cast(sum(least(s.c, ic.c)) as bigint) as low, any_value(m) as m
+  from s join ic on s.irid = ic.irid and s.sh = ic.sh group by s.rid, s.irid, start),
+v as (select *, low / (2 * m - low) as similarity from j),
+b as (select *, row_number() over (partition by rid, irid order by similarity desc, start) as k from v where similarity >= 0.8)
+select doc_id, item_id, cast(similarity as double) as similarity, start as first_word from b where k = 1
+"""
+
+
+def op7() -> str:
+    return f"""
+with recursive t as (select text, min(doc_id) as rep from documents where text is not null group by text),
+u as (select row_number() over () as k, text, rep, regexp_extract_all(text, '{WORD}') as words from t),
+s as (select distinct k, words[p + 1:p + 5] as sh from (select k, words, unnest(range(len(words) - 4)) as p from u)),
+n as (select k, count(*) as n from s group by k),
+l as (
+  select a.k as x, b.k as y from s a join s b on a.sh = b.sh and a.k <> b.k join n na on na.k = a.k join n nb on nb.k = b.k
+  group by a.k, b.k, na.n, nb.n having count(*) >= 0.8 * (na.n + nb.n - count(*))),
+c(x, y) as (select k, k from u union select c.x, l.y from c join l on c.y = l.x),
+g as (select c.x as k, min(v.rep) as class_id from c join u v on v.k = c.y group by c.x),
+o as (select x, count(*) as n_links from l group by x),
+m as (select u.text, u.rep, class_id, n_links from u join g on g.k = u.k left join o on o.x = u.k)
+select doc_id, case when d.text is null then doc_id else class_id end as class_id, case when d.text is null then doc_id else m.rep end as text_id, coalesce(n_links, 0) as n_links
+from documents d left join m on m.text = d.text
+"""
+
+
 def op4() -> str:
     letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
     five = "cast('0x' || substr(h, 5 * i + 1, 5) as int)"
@@ -127,4 +199,4 @@ select *, not base_failed and not ({_failed(qr.METHOD)}) as kept from v
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": op1(), "op4_warc": op4(), "op5_license_scans": op5(), "op8_url_filters": op8(), "op9_quality_rules": op9()}
+    return {"op1_substring_dedup": op1(), "op2_line_dedup": op2(), "op3_benchmark_decontamination": op3(), "op4_warc": op4(), "op5_license_scans": op5(), "op7_ngram_jaccard_join": op7(), "op8_url_filters": op8(), "op9_quality_rules": op9()}
