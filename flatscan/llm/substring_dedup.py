@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .blocks import BLOCK_BYTES, Blocks, Message, answer
-from .words import BASES, hash_texts, inside, ngrams, owners
+from .words import BASES, hash_texts, inside, mix, ngrams, owners
 
 WINDOW = 13
 #: The first level's parts are about this many words long, or the window if that is shorter.
@@ -51,8 +51,11 @@ class Windows:
         self.doc = ids[self.owner]
 
     def least_parts(self, length: int) -> np.ndarray:
-        """The least hash among the parts of this length in each window."""
-        return sliding_min(ngrams(self.hashes, length), self.window - length + 1)[self.at]
+        """The least hash among the parts of this length in each window.
+
+        Mixed again, for least hashes are small numbers and would crowd in a few ranges.
+        """
+        return mix(sliding_min(ngrams(self.hashes, length), self.window - length + 1)[self.at])
 
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of each window."""
