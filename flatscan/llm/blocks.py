@@ -20,7 +20,9 @@ from pyspark.sql.types import StructType
 
 from .common import fresh, pieces_for, text_bytes
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: A part owns the fingerprints of so many blocks' worth of text.
+BLOCKS_A_PART = 4
 LEAST = 24
 #: Stands for a null id: after every other.
 LAST = np.iinfo(np.int64).max
@@ -35,7 +37,9 @@ class Blocks:
 
     def __init__(self, docs: DataFrame, id: str, text: str, block_bytes: int = BLOCK_BYTES):
         self.id, self.text, self.schema = id, text, docs.schema
-        self.count = pieces_for(text_bytes(docs, text), block_bytes, LEAST)
+        total = text_bytes(docs, text)
+        self.count = pieces_for(total, block_bytes, LEAST)
+        self.parts = pieces_for(total, BLOCKS_A_PART * block_bytes, LEAST)
         self.column = fresh(docs, "__block")
         number = F.pmod(F.xxhash64(F.col(id), F.crc32(F.col(text).cast("binary"))), F.lit(self.count))
         self.rows = docs.withColumn(self.column, number.cast("int"))

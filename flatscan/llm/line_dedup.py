@@ -88,7 +88,7 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", block_by
     one. Other columns stay, but for some named n_lines or n_removed.
     """
     blocks = Blocks(docs, id, text, block_bytes)
-    parts = blocks.count
+    parts = blocks.parts
 
     def hashes(ids: np.ndarray, texts: list[bytes | None]) -> list[Message]:
         seen: dict[bytes, int] = {}

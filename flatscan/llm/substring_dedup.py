@@ -174,7 +174,7 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     after all others. Other columns stay, but for some of those three names.
     """
     blocks = Blocks(docs, id, text, block_bytes)
-    parts = blocks.count
+    parts = blocks.parts
 
     parts_first = levels(window)[:-1]
 
