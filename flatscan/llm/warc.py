@@ -171,7 +171,7 @@ def write_archive(
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], [*b.schema.names, "shard"])
 
     dealt = rows.mapInArrow(assign, "key bigint, sha string, kind int, refers_to bigint, url string, payload binary, shard int")
-    dealt = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "key", "sha", "kind", "url")
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "sha", "kind", "url")
     fs, folder = filesystem(uri)
     fs.create_dir(folder, recursive=True)
 
