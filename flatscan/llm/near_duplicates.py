@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, pieces_for
+from .common import checkpoint, components, fresh, pieces_for
 from .words import chunks, hash_texts, inside, ngrams
 
 SHINGLE = 5
@@ -236,8 +236,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the least id; rows with a null text all stay."""
-    best = checkpoint(groups(docs, id, text, similarity).where("key = best").select(F.col("key").alias("__n_key"), F.col("rep").alias("__n_rep")))
-    rows = docs.withColumn("__n_own", text_key(text))
-    same = (F.col("__n_own") == F.col("__n_key")) & F.col(id).eqNullSafe(F.col("__n_rep"))
-    stay = rows.join(best, same).dropDuplicates(["__n_own"])
+    mark = fresh(docs, "__n_mark")
+    place = F.concat(F.hex("key"), F.lit(":"), F.coalesce(F.col("rep").cast("string"), F.lit("")))
+    best = checkpoint(groups(docs, id, text, similarity).where("key = best").select(place.alias(mark)))
+    # one key for both sides and for dropping repeated rows, so that texts move once
+    own = F.concat(F.hex(text_key(text)), F.lit(":"), F.coalesce(F.col(id).cast("string"), F.lit("")))
+    stay = docs.where(F.col(text).isNotNull()).withColumn(mark, own).join(best, mark, "left_semi").dropDuplicates([mark])
     return stay.select(docs.columns).unionByName(docs.where(F.col(text).isNull()))
