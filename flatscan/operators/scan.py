@@ -8,17 +8,21 @@ groups only. Both give physical values, with the row's place in the file.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..errors import UnsupportedFeatureError
-from ..functions.physical import payload_bytes, physical_value, read_type
+from ..functions.physical import PLAIN_TYPES, payload_bytes, physical_value, read_type
 from ..options import ReaderOptions, RowRange, ScanOptions
 from ..plans.preflight import ScanPlan, plan
+from ..sources.decode import chunk_array
 from ..sources.footer import FileMetadata, open_metadata
+from ..sources.ranges import PathSource
 from ..sources.row_groups import NAME, RowGroupSource
 from .metadata import HadoopSource, files
 
@@ -52,10 +56,13 @@ def scan(
     """The chosen columns, in the given order, as physical values.
 
     identity adds row_index (in the file) and row_group. Rows come in no order;
-    sort by row_index where order counts. lane is "native" or "row_group".
+    sort by row_index where order counts. lane is "native", "row_group", or
+    "strict", which decodes by this library's own rules and fails where they do.
     """
     file, meta, p = describe(spark, path, ScanOptions(columns, row_groups, rows, target_rows), options)
-    out = _native(spark, file, meta, p) if lane == "native" else _row_groups(spark, file, p)
+    if lane not in ("native", "row_group", "strict"):
+        raise ValueError(f"there is no lane {lane!r}")
+    out = _native(spark, file, meta, p) if lane == "native" else _row_groups(spark, file, p) if lane == "row_group" else _strict(spark, file, p, options)
     return out if identity else out.drop("row_index", "row_group")
 
 
@@ -99,6 +106,31 @@ def _row_groups(spark: SparkSession, file: str, p: ScanPlan) -> DataFrame:
     )
 
 
+def _strict(spark: SparkSession, file: str, p: ScanPlan, options: ReaderOptions | None) -> DataFrame:
+    """One task a row group; it holds the projected columns of one group."""
+    fields = [StructField(n, PLAIN_TYPES[c.element.physical]) for n, c in zip(p.names, p.columns, strict=True)]
+    schema = StructType([*fields, StructField("row_index", LongType()), StructField("row_group", LongType())])
+    ordinals, names, target = [c.ordinal for c in p.columns], schema.names, p.target_rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source = PathSource(file)
+        try:
+            meta = open_metadata(source, options)
+            for s in (r for b in batches for r in b.to_pylist()):
+                group = meta.groups[s["g"]]
+                first = s["start"] - group.offset
+                arrays = [chunk_array(source, meta, group.chunks[i], options).slice(first, s["n"]) for i in ordinals]
+                for a in range(0, s["n"], target):
+                    n = min(target, s["n"] - a)
+                    place = [pa.array(range(s["start"] + a, s["start"] + a + n), pa.int64()), pa.array([s["g"]] * n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*(x.slice(a, n) for x in arrays), *place], names)
+        finally:
+            source.close()
+
+    segments = spark.createDataFrame([tuple(s) for s in p.segments], "g int, start bigint, n bigint")
+    return segments.repartition(max(1, len(p.segments))).mapInArrow(run, schema)
+
+
 def oversized_values(df: DataFrame, columns: list[str], options: ReaderOptions | None = None) -> DataFrame:
     """Rows of a scan with a binary value over the limit."""
     limit = (options or ReaderOptions()).binary_value_bytes

@@ -17,6 +17,7 @@ from flatscan.operators.metadata import TABLES, metadata, pages, summary
 from flatscan.operators.scan import oversized_values, scan
 from flatscan.options import ReaderOptions, RowRange, ScanOptions
 from flatscan.plans.preflight import Segment, plan
+from flatscan.sources.decode import hybrid
 from flatscan.sources.footer import open_metadata
 from flatscan.sources.pages import walk
 from flatscan.sources.ranges import BytesSource
@@ -221,7 +222,9 @@ def test_lanes_agree(spark, tmp_path, nullable, version, codec, dictionary):
     for kw in ({}, {"rows": RowRange(25, 70)}, {"row_groups": [1, 4]}, {"row_groups": [0, 2], "rows": RowRange(10, 60)}):
         native = scan(spark, path, names[::-1], identity=True, **kw)
         groups = scan(spark, path, names[::-1], identity=True, lane="row_group", target_rows=7, **kw)
-        assert native.columns == groups.columns == [*names[::-1], "row_index", "row_group"]
+        strict = scan(spark, path, names[::-1], identity=True, lane="strict", target_rows=9, **kw)
+        assert native.columns == groups.columns == strict.columns == [*names[::-1], "row_index", "row_group"]
+        strict = strict.cache()
         at = values(native, "row_index")
         with FlatFile(path) as f:
             own = {n: [] for n in names}
@@ -232,7 +235,7 @@ def test_lanes_agree(spark, tmp_path, nullable, version, codec, dictionary):
         for n in names:
             want = [t[n].to_pylist()[i] for i in at]
             kind = open_metadata(BytesSource(open(path, "rb").read())).column(n).element.physical
-            digests = {stream_digest(x, kind) for x in (values(native, n), values(groups, n), own[n], want)}
+            digests = {stream_digest(x, kind) for x in (values(native, n), values(groups, n), values(strict, n), own[n], want)}
             assert len(digests) == 1, n
         assert values(native, "row_group") == values(groups, "row_group") == [i // 30 for i in at]
 
@@ -296,6 +299,55 @@ def test_what_the_profile_leaves_out_is_rejected(tmp_path, table, kw):
         batches(path, [0])
 
 
+@pytest.mark.parametrize(
+    ("data", "width", "count", "want"),
+    [
+        (b"\x06\x05", 3, 3, [5, 5, 5]),
+        (b"\x03\x88\xc6\xfa", 3, 8, [0, 1, 2, 3, 4, 5, 6, 7]),
+        (b"\x03\x88\xc6\xfa", 3, 5, [0, 1, 2, 3, 4]),
+        (b"\x04", 0, 2, [0, 0]),
+        (b"", 1, 0, []),
+        (b"\x02\x01\x02\x00", 1, 2, [1, 0]),
+        (b"\x00\x01", 1, 1, None),
+        (b"\x06\x05", 3, 2, None),
+        (b"\x02\x08", 3, 1, None),
+        (b"\x05\x88\xc6\xfa\x88\xc6\xfa", 3, 5, None),
+        (b"\x03\x88", 3, 5, None),
+        (b"\x06\x05\x00", 3, 3, None),
+        (b"\x80", 3, 3, None),
+        (b"\x06\x05", 33, 3, None),
+    ],
+)
+def test_hybrid_numbers(data, width, count, want):
+    if want is None:
+        with pytest.raises(FormatError):
+            hybrid(data, width, count, FormatError)
+    else:
+        assert hybrid(data, width, count, FormatError).tolist() == want
+
+
+@pytest.mark.parametrize("body", [b"\x01\x00\x00", b"\x01" * 9, b""])
+def test_values_fill_their_page(body):
+    with pytest.raises(FormatError):
+        batches(one(page([1, 2], body=body)), [0])
+
+
+def test_levels_and_indices_are_checked():
+    def data(levels, *values):
+        return len(levels).to_bytes(4, "little") + levels + b"".join(v.to_bytes(4, "little") for v in values)
+
+    assert batches(one(page([1, 2], body=data(b"\x03\x02", 7)), schema=OPTIONAL), [0])[0][4] == [[None, 7]]
+    for body in (data(b"\x03\x03", 7), data(b"\x03\x02\x00", 7), b"\x09\0\0\0", b"\0"):
+        with pytest.raises(FormatError):
+            batches(one(page([1, 2], body=body), schema=OPTIONAL), [0])
+    words = page([5, 6], kind=2)
+    assert batches(one(words, page([1, 2], encoding=8, body=b"\x01\x03\x02")), [0])[0][4] == [[5, 6]]
+    for body in (b"\x02\x03\x0f\x00", b"\x01\x02\x00", b"\x21\x03\x02", b""):
+        with pytest.raises(FormatError) as e:
+            batches(one(words, page([1, 2], encoding=8, body=body)), [0])
+        assert (e.value.row_group, e.value.column, e.value.page) == (0, 0, 1)
+
+
 def test_a_flipped_bit_is_found(spark, tmp_path):
     path = f"{tmp_path}/f.parquet"
     pq.write_table(pa.table({"a": list(range(1000))}), path, use_dictionary=False, compression="none", write_page_checksum=True)
