@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flatscan.llm.common import new_dir, table
+from flatscan.llm.common import new_dir, spread, table
 from flatscan.llm.decontamination import decontaminate
 from flatscan.llm.line_dedup import line_dedup
 from flatscan.llm.near_duplicates import keep_one
@@ -65,7 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents table."""
-    docs, folder = table(spark, sf_dir, "documents"), new_dir(spark, "pipeline")
+    docs, folder = spread(table(spark, sf_dir, "documents")), new_dir(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
