@@ -5,6 +5,10 @@ a multiple of the mean length, so that a line more or less moves the bounds next
 to it and no others. Chunks of two lines or more that occur more than once in
 the corpus are removed but for their first occurrence, after their bytes have
 been compared.
+
+The chunks are the contract of op2's SQL, and lose passages whose bounds fall
+inside a chunk. With ``whole_runs`` the units are all pairs of neighbouring lines
+instead, and every run of pairs that stood earlier goes, wherever it begins.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections import deque
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +71,25 @@ def chunks_of(text: bytes | None, least: int = LEAST_LINES) -> tuple[list[bytes]
     return lines, out
 
 
+def pairs_of(text: bytes | None) -> tuple[list[bytes], list[tuple[int, int, bytes]]]:
+    """The lines of a text, and (first line, end, bytes) of every two neighbouring ones."""
+    if text is None:
+        return [], []
+    lines = text.split(b"\n")
+    return lines, [(i, i + 2, b"%b\n%b" % two) for i, two in enumerate(pairwise(lines))]
+
+
+def runs_of(lines: list[bytes], starts: list[int]) -> list[tuple[int, int]]:
+    """(first line, end) of the maximal runs of overlapping pairs, given by their first lines, that hold a word."""
+    out: list[list[int]] = []
+    for s in starts:
+        if out and s < out[-1][1]:
+            out[-1][1] = s + 2
+        else:
+            out.append([s, s + 2])
+    return [(s, e) for s, e in out if any(x.split(None, 1) for x in lines[s:e])]
+
+
 def _part(h: bytes, parts: int) -> int:
     return int.from_bytes(h[:8], "little") % parts
 
@@ -78,7 +102,7 @@ def _deal(entries: dict[bytes, tuple[bytes, bytes]], parts: int) -> list[Message
     return [(p, b"".join(x[0] for x in own), b"".join(x[1] for x in own), b"".join(x[2] for x in own)) for p, own in by.items()]
 
 
-def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, whole_runs: bool = False) -> DataFrame:
     """docs with repeated chunks of lines removed from the text, and n_lines and n_removed (long).
 
     Of all places of equal chunks, that with the least id stays, the first one in
@@ -86,14 +110,19 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", block_by
     all others. Lines end at \\n; a text keeps its other lines, joined by \\n, and
     may end up empty. A null text stays null and has no lines; an empty one has
     one. Other columns stay, but for some named n_lines or n_removed.
+
+    whole_runs: instead of chunks, every run of two lines or more goes whose every
+    two neighbouring lines stand so at a lesser id, or before them in the same one
+    without sharing a line, if the run holds a word. Some copy of each line stays.
     """
+    units = pairs_of if whole_runs else chunks_of
     blocks = Blocks(docs, id, text, block_bytes)
     parts = blocks.parts
 
     def hashes(ids: np.ndarray, texts: list[bytes | None]) -> list[Message]:
         seen: dict[bytes, int] = {}
         for t in texts:
-            for _, _, body in chunks_of(t)[1]:
+            for _, _, body in units(t)[1]:
                 h = xxhash.xxh3_128_digest(body)
                 seen[h] = seen.get(h, 0) + 1
         return _deal({h: (bytes([n > 1]), b"") for h, n in seen.items()}, parts)
@@ -111,7 +140,7 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", block_by
         often = {a[i : i + 16] for a, _, _ in got for i in range(0, len(a), 16)}
         first: dict[tuple[bytes, bytes], tuple[int, int]] = {}
         for d, t in zip(ids.tolist(), texts, strict=True):
-            for start, _, body in chunks_of(t)[1]:
+            for start, _, body in units(t)[1]:
                 h = xxhash.xxh3_128_digest(body)
                 if h in often:
                     key, place = (h, body), (d, start)
@@ -140,8 +169,12 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", block_by
         first = {a[24 * i : 24 * i + 24]: place for a, b, _ in got for i, place in enumerate(struct.iter_unpack("<qq", b))}
         kept, n_lines, n_removed = [], [], []
         for d, t in zip(ids.tolist(), texts, strict=True):
-            lines, own = chunks_of(t)
-            gone = [(s, e) for s, e, body in own if (d, s) > first.get(xxhash.xxh3_128_digest(body) + xxhash.xxh3_64_digest(body, 1), (d, s))] if first else []
+            lines, own = units(t)
+            at = [(s, e, first.get(xxhash.xxh3_128_digest(body) + xxhash.xxh3_64_digest(body, 1), (d, s))) for s, e, body in own] if first else []
+            if whole_runs:
+                gone = runs_of(lines, [s for s, _, (i, k) in at if i < d or k + 2 <= s])
+            else:
+                gone = [(s, e) for s, e, place in at if (d, s) > place]
             n_lines.append(len(lines))
             n_removed.append(sum(e - s for s, e in gone))
             for s, e in reversed(gone):

@@ -113,6 +113,50 @@ def test_line_dedup_equals_brute_force(spark, seed):
     assert sum(r.n_removed for r in got) > 0
 
 
+def brute_runs(rows):
+    """Lines that stay, by looking at every two neighbouring lines on their own."""
+    last = 1 << 62
+    split = [(last if i is None else i, [] if t is None else t.split("\n")) for i, t in rows]
+    places = {}
+    for i, w in split:
+        for s in range(len(w) - 1):
+            places.setdefault((w[s], w[s + 1]), []).append((i, s))
+    out = []
+    for (i, t), (d, w) in zip(rows, split, strict=True):
+        old = [any(x < d or (x == d and k + 2 <= s) for x, k in [min(places[w[s], w[s + 1]])]) for s in range(len(w) - 1)]
+        gone, s = set(), 0
+        while s < len(old):
+            e = s
+            while e < len(old) and old[e]:
+                e += 1
+            if e > s and any(x.encode().split() for x in w[s : e + 1]):
+                gone |= set(range(s, e + 1))
+            s = e + 1
+        out.append((i, None if t is None else "\n".join(x for q, x in enumerate(w) if q not in gone), len(w), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_whole_runs_equal_brute_force(spark, seed):
+    draw = random.Random(seed)
+    pool = [f"line {i}" for i in range(30)] + ["", " "]
+    rows = [(i, "\n".join(draw.choices(pool, k=draw.randint(0, 20)))) for i in range(50)]
+    rows += [(50, None), (None, rows[1][1]), (7, rows[7][1]), (51, "\n\n\n"), (52, "\n\n\n"), (53, "a\na\na\na\na")]
+    got = line_dedup(spark.createDataFrame(rows_of(rows), SCHEMA), block_bytes=200, whole_runs=True).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=key) == sorted(brute_runs(rows), key=key)
+
+
+def test_whole_runs_find_every_repeated_passage(spark):
+    passages = [[f"p{k} line {j}" for j in range(2 + k % 3)] for k in range(30)]
+    own = lambda i, n: [f"own {i} {j}" for j in range(n)]
+    rows = [(i, "\n".join(own(i, 1 + i % 4) + passages[i % 30] + own(-i - 1, 1 + i % 5))) for i in range(60)]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows_of(rows), SCHEMA), whole_runs=True).collect()}
+    assert [got[i].n_removed for i in range(60)] == [0] * 30 + [len(p) for p in passages]
+    # the chunks of the contract lose some of them
+    assert sum(x[3] for x in brute_lines(rows)) < sum(map(len, passages))
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
