@@ -202,6 +202,16 @@ def test_decontamination_equals_brute_force(spark):
     assert decontamination(table.limit(0), bench).collect() == []
 
 
+def test_a_text_shorter_than_an_item_is_compared_whole(spark):
+    words = [f"w{i}" for i in range(50)]
+    texts = [" ".join(words[:48]), " ".join(words[3:46]), " ".join(words[:41]), " ".join(words[5:45])]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[::-1]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontamination(table, bench).collect()}
+    assert got == {(0, 1): (44 / 46, 0), (1, 1): (39 / 46, 0), (2, 1): (37 / 46, 0)}
+    assert [r.doc_id for r in decontaminate(table, bench).collect()] == [3]
+
+
 def test_every_operator_has_a_query():
     names = sorted(queries.queries(), key=lambda k: int(k[2:].split("_")[0]))
     assert [int(k[2:].split("_")[0]) for k in names] == list(range(1, 11))
