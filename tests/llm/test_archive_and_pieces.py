@@ -14,7 +14,7 @@ import pytest
 
 import corpus_pipeline
 from flatscan.llm import queries, sql
-from flatscan.llm.decontamination import MultiIndex, decontaminate, decontamination, shingles, simhash, weighted_jaccard
+from flatscan.llm.decontamination import Items, MultiIndex, decontaminate, decontamination, matches, shingles, simhash, weighted_jaccard
 from flatscan.llm.pieces import decode, decode_ids, encode, encode_texts, vocabulary
 from flatscan.llm.warc import base32_sha1, read_archive, write_archive
 
@@ -161,6 +161,15 @@ def test_simhash_is_near_for_near_windows():
     assert bits(s, near) < 16 < bits(s, far)
 
 
+def test_refrains_do_not_pass_the_radius():
+    draw = np.random.default_rng(4)
+    for n, repeats in ((45, 5), (90, 10), (180, 20)):
+        for _ in range(40):
+            s = draw.integers(0, 1 << 64, n - repeats + 2, np.uint64)
+            item, text = (np.concatenate([s[2:], np.full(repeats, x)]) for x in s[:2])
+            assert matches(text, Items(["q"], [item]), 0.8) == [(0, 0.8, 0)]
+
+
 def brute_items(text, items, j=0.8):
     s = shingles((text or "").encode())
     out = {}
