@@ -1,13 +1,14 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash bands.
 
 A text is its set of five-word shingles. Equal texts form one class, and a class
-is handled once. Each tree of the forest orders classes by a sequence of MinHash
-labels; classes with one prefix are a run of that order. From the deepest level
-on, prefixes are shortened until pairs at the similarity share a run in some tree
-with the target probability. Every run elects a leader; the classes of a leader
-are verified against each other, all pairs by exact Jaccard similarity, in blocks
-of bounded size. Pairs stay inside the verifying task: it returns a row a class,
-with its number of links and the least class that it is linked to.
+is handled once. Each of 24 trees gives a class the hash of a sequence of MinHash
+labels; classes with one hash are a run. The length of the sequences follows from
+the similarity alone: the longest at which a pair at the similarity shares a run
+in some tree with the target probability. This is banding, not an LSH forest: no
+prefix is shortened against the data. Every run elects a leader; the classes of a
+leader are verified against each other, all pairs by exact Jaccard similarity, in
+blocks of bounded size. Pairs stay inside the verifying task: it returns a row a
+class, with its number of links and the least class that it is linked to.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ GROUP_BYTES = 8 << 20
 
 
 def depth_for(similarity: float, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    """Prefixes get shorter until a pair at the similarity meets in some tree with probability ``recall``."""
+    """The most labels a tree at which a pair at the similarity meets in some tree with probability ``recall``."""
     depth = deepest
     while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
         depth -= 1
