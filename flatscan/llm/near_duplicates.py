@@ -101,11 +101,11 @@ def verify(leader: int, keys: list[bytes], blocks: list[int], leaders: list[list
     sides = np.array(blocks)
     low, high = sides.min(), sides.max()
     left, right = np.flatnonzero(sides == low), np.flatnonzero(sides == high)
-    size = np.array([len(x) for x in sets], np.float32)
+    size = np.array([len(x) for x in sets], np.float64)
     shared = overlaps(sets, left, right)
     union = size[left][:, None] + size[right][None, :] - shared
     # compared as shared >= j * union, with whole numbers on both sides where j is a short decimal
-    linked = (shared > 0) & (np.rint(shared * 1_000_000) >= np.rint(similarity * 1_000_000 * union.astype(np.float64)))
+    linked = (shared > 0) & (np.rint(shared.astype(np.float64) * 1_000_000) >= np.rint(similarity * 1_000_000 * union.astype(np.float64)))
     if low == high:
         np.fill_diagonal(linked, False)
     before = sorted({x for own in leaders for x in own if x < leader})

@@ -248,6 +248,16 @@ def test_a_link_counts_at_one_leader():
     assert verify(9, *args) == [(b"a", 0, b"a"), (b"b", 0, b"a")]
 
 
+def test_long_texts_at_the_threshold_are_linked():
+    # 4 n shared shingles of 5 n: exactly 0.8
+    for n in (1077, 1078, 1079, 1083, 1090, 1200, 1301, 1502, 1999):
+        words = [f"w{i}" for i in range(5 * n + 4)]
+        long, short = " ".join(words).encode(), " ".join(words[: 4 * n + 4]).encode()
+        args = ([b"a", b"b"], [0, 0], [[3], [3]])
+        assert verify(3, *args, [long, short], 0.8) == [(b"a", 1, b"a"), (b"b", 1, b"a")], n
+        assert verify(3, *args, [long, short.rsplit(None, 1)[0]], 0.8) == [], n
+
+
 def test_kept_text_digest_matches_contract(spark):
     from flatscan.llm.queries import op1_substring_dedup
 
