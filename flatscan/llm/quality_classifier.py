@@ -10,6 +10,7 @@ pass over all texts, without a shuffle.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +29,7 @@ BITS = 18
 CLASS = bytes(
     ord("a") if 97 <= c <= 122 else ord("A") if 65 <= c <= 90 else ord("0") if 48 <= c <= 57 else 0xFF if c >= 128 else c for c in range(256)
 )
+RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 class Vocabulary(dict):
@@ -38,9 +40,8 @@ class Vocabulary(dict):
         self.word, self.shape = array("Q"), array("Q")
 
     def __missing__(self, w: bytes) -> int:
-        shape = w[:64].translate(CLASS)
         # letters count once a run: only what surrounds them tells shapes apart
-        flat = bytes(c for i, c in enumerate(shape) if not i or c != shape[i - 1])
+        flat = RUN.sub(rb"\1", w.translate(CLASS))
         self[w] = n = len(self)
         self.word.append(xxhash.xxh3_64_intdigest(w))
         self.shape.append(xxhash.xxh3_64_intdigest(flat, 1))

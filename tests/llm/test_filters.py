@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flatscan.llm import license_scan as ls
-from flatscan.llm.quality_classifier import Features, coordinate_descent, fit, held_out, log_count_ratio, quality_classifier, score
+from flatscan.llm.quality_classifier import Features, Vocabulary, coordinate_descent, fit, held_out, log_count_ratio, quality_classifier, score
 from flatscan.llm.quality_rules import METHOD, WINDOW, Threshold, quality_rules
 from flatscan.llm.url_filters import RULES, url_filters
 
@@ -180,6 +180,15 @@ def test_sample_is_bounded(spark):
     assert (small.weights != 0).sum() < (whole.weights != 0).sum()
 
 
+def test_shapes_are_of_whole_words():
+    def shapes(w):
+        v = Vocabulary()
+        return v.shape[v[w]]
+
+    assert shapes(b"a" * 64 + b"!!9") == shapes(b"b!0") != shapes(b"a" * 64) == shapes(b"q")
+    assert shapes(b"ab-" * 1000 + b"Z") != shapes(b"ab-" * 1000)
+
+
 def test_indicators_are_sets():
     own, ids = Features().of([b"a b", b"", b"a a a a a a"])
     assert set(own.tolist()) == {0, 2}
