@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed values of the contract: first state, multiplier, and the mark after a binary value.
 SEED, PRIME, SEPARATOR = 1_469_598_103_934_665_603, 1_099_511_628_211, 0x100
@@ -40,33 +41,51 @@ def mix_value(state: int, value: object, physical: str) -> int:
     return mix(state, int(value))
 
 
+def _fold(batches: Iterable[pa.RecordBatch | pa.Table], kinds: dict[str, str]) -> int:
+    values, nulls = [SEED] * len(kinds), [SEED] * len(kinds)
+    for batch in batches:
+        place = batch["row_index"].to_pylist()
+        for i, n in enumerate(kinds):
+            for row, x in zip(place, batch[n].to_pylist(), strict=True):
+                if x is None:
+                    nulls[i] = mix_long(nulls[i], row)
+                else:
+                    values[i] = mix_value(values[i], x, kinds[n])
+    folded = [mix_long(v, _signed(n, 64)) for v, n in zip(values, nulls, strict=True)]
+    out = folded[0]
+    if len(folded) > 1:
+        out = SEED
+        for x in folded:
+            out = mix_long(out, _signed(x, 64))
+    return _signed(out, 64)
+
+
 def scan_checksum(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """One row, ``checksum``: values and null places of each column in row order, then the columns in theirs.
 
     The hash depends on the order of all rows, so one task reads them; it is a
-    check of a bounded scan, not an operator for tables.
+    check of a bounded scan. group_checksums is for tables.
     """
-    names = list(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, nulls = [SEED] * len(names), [SEED] * len(names)
-        for batch in batches:
-            place = batch["row_index"].to_pylist()
-            for i, n in enumerate(names):
-                for row, x in zip(place, batch[n].to_pylist(), strict=True):
-                    if x is None:
-                        nulls[i] = mix_long(nulls[i], row)
-                    else:
-                        values[i] = mix_value(values[i], x, kinds[n])
-        folded = [mix_long(v, _signed(n, 64)) for v, n in zip(values, nulls, strict=True)]
-        out = folded[0]
-        if len(folded) > 1:
-            out = SEED
-            for x in folded:
-                out = mix_long(out, _signed(x, 64))
-        yield pa.RecordBatch.from_arrays([pa.array([_signed(out, 64)], pa.int64())], ["checksum"])
-
-    return rows.select(*names, "row_index").coalesce(1).sortWithinPartitions("row_index").mapInArrow(run, "checksum bigint")
+        yield pa.RecordBatch.from_arrays([pa.array([_fold(batches, kinds)], pa.int64())], ["checksum"])
+
+    return rows.select(*kinds, "row_index").coalesce(1).sortWithinPartitions("row_index").mapInArrow(run, "checksum bigint")
+
+
+def group_checksums(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(row_group, row_count, checksum): the checksum of scan_checksum for each row group's rows.
+
+    Row groups are folded apart from each other, each in one task; rows of one
+    file, with row_index and row_group.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        out = {"row_group": [table["row_group"][0].as_py()], "row_count": [table.num_rows], "checksum": [_fold([table.sort_by("row_index")], kinds)]}
+        return pa.table({k: pa.array(x, pa.int64()) for k, x in out.items()})
+
+    names = [*kinds, "row_index", F.col("row_group").cast("long")]
+    return rows.select(*names).groupBy("row_group").applyInArrow(run, "row_group bigint, row_count bigint, checksum bigint")
 
 
 def stream_digest(values: list[object], physical: str) -> str:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from build import I32, STRUCT, column, file, leaf, page, root
 from flatscan.errors import FormatError, LimitExceededError, UnsupportedFeatureError
 from flatscan.operators.batches import batch_identity, capped_rows, offsets, validity
-from flatscan.operators.checksum import SEED, mix, mix_long, scan_checksum, stream_digest
+from flatscan import queries
+from flatscan.operators.checksum import SEED, group_checksums, mix, mix_long, scan_checksum, stream_digest
 from flatscan.operators.metadata import TABLES, metadata, pages, summary
 from flatscan.operators.scan import oversized_values, scan
 from flatscan.options import ReaderOptions, RowRange, ScanOptions
@@ -463,3 +464,17 @@ def test_checksum_is_ordered(spark):
     want = mix_long(mix(mix(SEED, 5), 7), mix_long(SEED, 1))
     assert scan_checksum(rows, {"a": "INT32"}).head().checksum == want - (1 << 64 if want >> 63 else 0)
     assert stream_digest([1, None], "INT32") != stream_digest([None, 1], "INT32")
+
+
+def test_checksums_of_row_groups(spark, tmp_path):
+    path = f"{tmp_path}/f.parquet"
+    pq.write_table(pa.table({"a": list(range(95)), "b": [None if i % 7 == 0 else f"x{i}".encode() for i in range(95)]}), path, row_group_size=30)
+    kinds = {"a": "INT64", "b": "BYTE_ARRAY"}
+    got = {r.row_group: (r.row_count, r.checksum) for r in group_checksums(scan(spark, path, ["a", "b"], identity=True).repartition(5), kinds).collect()}
+    want = {g: (n, scan_checksum(scan(spark, path, ["a", "b"], row_groups=[g], identity=True), kinds).head().checksum) for g, n in enumerate((30, 30, 30, 5))}
+    assert got == want
+
+
+def test_the_checksum_query_folds_a_whole_table(spark):
+    got = queries.bn_checksum(spark, "/root/testdata/sf0.001").collect()
+    assert sum(r.row_count for r in got) == pq.read_metadata("/root/testdata/sf0.001/lineitem.parquet").num_rows
