@@ -3,11 +3,13 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from flatscan.llm.line_dedup import chunk_ends, chunks_of, line_dedup
-from flatscan.llm.near_duplicates import depth_for, keep_one, near_duplicates, verify
+from flatscan.llm.near_duplicates import depth_for, keep_one, near_duplicates, neighbours, sequences, verify, verify_sets
 from flatscan.llm.substring_dedup import levels, substring_dedup
+from flatscan.llm.words import hash_texts, ngrams
 
 SCHEMA = "doc_id long, text string, n_words string, part int, block int, key string"
 
@@ -258,6 +260,57 @@ def test_long_texts_at_the_threshold_are_linked():
         assert verify(3, *args, [long, short.rsplit(None, 1)[0]], 0.8) == [], n
 
 
+def test_hot_runs_get_more_trees_and_large_leaders_are_compared_by_differences(spark, monkeypatch):
+    monkeypatch.setattr("flatscan.llm.near_duplicates.HOT", 6)
+    monkeypatch.setattr("flatscan.llm.near_duplicates.BLOCK", 5)
+    monkeypatch.setattr("flatscan.llm.near_duplicates.GROUP_BYTES", 4000)
+    monkeypatch.setattr("flatscan.llm.near_duplicates.SWEEP_ROWS", 40)
+    rows = near_corpus(7)
+    got = near_duplicates(spark.createDataFrame(rows_of(rows), SCHEMA)).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted((tuple(r) for r in got), key=key) == sorted(brute_groups(rows), key=key)
+
+
+def test_sequences_are_tries_of_labels():
+    texts = [" ".join(f"w{i}" for i in range(n)).encode() for n in (200, 200, 4, 195)]
+    rows, some = sequences(texts)
+    assert some.tolist() == [True, True, False, True] and (rows[0] == rows[1]).all()
+    # a prefix of labels agrees more often than a longer one, and whole sequences least of all
+    far = [" ".join(f"x{i if i % 40 else -i}" for i in range(k, 200 + k)).encode() for k in (0, 20)]
+    (a, b), _ = sequences(far, range(64))
+    shared = [int(((a ^ b) >> np.uint64(64 - 8 * d) == 0).sum()) for d in (1, 2, 4, 8)]
+    assert shared == sorted(shared, reverse=True) and shared[0] > 40
+    assert depth_for(0.8, trees=40) == 7
+
+
+def test_neighbours_share_the_floor(spark):
+    draw = random.Random(8)
+    rows = [(t, draw.randrange(40) << 56 | draw.randrange(2) << 20, n) for n in range(300) for t in range(2)]
+    rows = [(t, s - (1 << 64) if s >> 63 else s, n) for t, s, n in rows]
+    table = spark.createDataFrame(rows, "tree int, sequence long, node long")
+    count = {}
+    for t, s, _ in rows:
+        count[t, s >> 56] = count.get((t, s >> 56), 0) + 1
+    got = {tuple(r) for r in neighbours(table, 600, 1).collect()}
+    assert {r for r in rows if count[r[0], r[1] >> 56] > 1} <= got <= set(rows)
+
+
+def test_differences_count_like_sets():
+    draw = random.Random(9)
+    base = draw.choices([f"w{i}" for i in range(300)], k=100)
+    texts = [" ".join(base).encode()]
+    for _ in range(12):
+        w = list(base)
+        for _ in range(draw.randint(1, 6)):
+            w[draw.randrange(100)] = "new"
+        texts.append(" ".join(w).encode())
+    keys, blocks, leaders = [bytes([i]) for i in range(13)], [i % 2 for i in range(13)], [[5]] * 13
+    sets = [np.unique(ngrams(hash_texts([t])[0], 5)) for t in texts]
+    diffs = [np.setxor1d(s, sets[0]) for s in sets]
+    common = [(len(s) + len(sets[0]) - len(d)) // 2 for s, d in zip(sets, diffs, strict=True)]
+    assert verify(5, keys, blocks, leaders, texts, 0.8) == verify_sets(5, keys, blocks, leaders, diffs, [len(s) for s in sets], common, len(sets[0]), 0.8)
+
+
 def test_kept_text_digest_matches_contract(spark):
     from flatscan.llm.queries import op1_substring_dedup
 
