@@ -102,6 +102,24 @@ def test_url_filters_of_nothing(spark):
     assert [(r.rule, r.verdict) for r in url_filters(one, none, default="block").collect()] == [(None, "block")]
 
 
+def test_url_filters_take_clashing_names_and_long_urls(spark):
+    rows = [(1, "http://a.com/fr/" + "x" * 300_000, "h", "r", "v"), (1, "http://a.com/fr/" + "x" * 300_000, "h", "r", "v"), (None, None, None, None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, host string, rule string, verdict string")
+    got = sorted(((r.page_id, r.host, len(r.path), r.rule, r.verdict) for r in url_filters(table).collect()), key=str)
+    assert got == [(1, "a.com", 300_004, "com/fr/", "allow")] * 2 + [(None, "", 0, None, "allow")]
+    swapped = table.select("page_id", "url", F.col("url").alias("host"))
+    assert {r.host for r in url_filters(swapped, url="host").collect()} == {"a.com", ""}
+
+
+def test_a_sweep_begins_with_the_open_stack(spark, monkeypatch):
+    monkeypatch.setattr("flatscan.llm.url_filters.ROWS_PER_PARTITION", 2)
+    urls = [f"http://s{i}.b.net/a/{j:03}" for i in range(4) for j in range(60)]
+    rules = [("block", "net", "/a"), ("allow", "b.net", "/a/"), ("block", "b.net", "/a/03"), ("allow", "b.net", "/a/030")]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_filters(table, rules).collect()}
+    assert got == {u: brute_url(u, rules) for u in urls}
+
+
 def brute_quality(t):
     t = t or ""
     w = [x.decode() for x in t.encode().split()]
