@@ -2,11 +2,14 @@
 
 Records are sorted by key and payload digest and cut into key ranges, the
 shards; range bounds come from a sample of keys chosen by their hashes, so they
-depend on the rows alone. One task writes a shard, in files that are closed once
-their compressed size reaches a limit. Headers, record ids and digests are made
-from the row, never copied. A file gets its name by a rename once it is whole,
-and the archive counts as written once its manifest has its name; a task that is
-run again writes the same bytes to the same names.
+depend on the rows alone. Shards and sampled keys are bounded in number: beyond
+MAX_SHARDS shards of SHARD_BYTES, shards grow with the input. One task writes a
+shard, a file at a time; a file is closed once its compressed size reaches a
+limit. Headers, record ids and digests are made from the row, never copied. A
+file is written in a folder of temporary names and moved to its own once it is
+whole, and the archive counts as written once its manifest has its name; that
+folder goes then, with what lost tasks left there. A task that is run again
+writes the same bytes to the same names.
 """
 
 from __future__ import annotations
@@ -30,10 +33,14 @@ from .common import checkpoint, pieces_for
 
 SHARD_BYTES = 16 << 20
 ROLL_BYTES = 4 << 20
+MAX_SHARDS = 16_384
+#: Keys of some 60 bytes that reach the driver to find the bounds; the bounds go to each task.
+MAX_SAMPLE = 1 << 18
 LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "_manifest"
+UNNAMED = "_unnamed"
 MANIFEST_SCHEMA = "shard int, seq int, name string, records bigint, bytes bigint, sha256 string"
 RECORD_SCHEMA = "key bigint, uri string, record_type string, refers_to bigint, payload binary, payload_bytes bigint, payload_digest string"
 
@@ -112,20 +119,27 @@ class ShardWriter:
         if not self.parts:
             return
         data, name = b"".join(self.parts), self.name()
-        temporary = f"{self.dir}/.{name}.{uuid.uuid4().hex}"
+        temporary, final = f"{self.dir}/{UNNAMED}/{name}.{uuid.uuid4().hex}", f"{self.dir}/{name}"
         with self.fs.open_output_stream(temporary) as f:
             f.write(data)
-        self.fs.move(temporary, f"{self.dir}/{name}")
+        try:
+            self.fs.move(temporary, final)
+        except OSError:
+            # not every file system replaces a file that an earlier attempt of the task has named
+            if self.fs.get_file_info(final).type != pafs.FileType.File:
+                raise
+            self.fs.delete_file(final)
+            self.fs.move(temporary, final)
         yield self.shard, self.seq, name, self.records, len(data), hashlib.sha256(data).hexdigest()
         self.seq, self.parts = self.seq + 1, []
 
 
-def _bounds(keyed: DataFrame, rows: int, shards: int, per_shard: int = 64) -> list[tuple]:
-    """The first (key, digest) of each shard but the first; a few dozen sampled keys a shard reach the driver."""
+def _bounds(keyed: DataFrame, rows: int, shards: int) -> list[tuple]:
+    """The first (key, digest) of each shard but the first, from up to 64 keys a shard and MAX_SAMPLE or so in all."""
     if shards < 2:
         return []
-    step = max(1, rows // (shards * per_shard))
-    some = keyed.where(F.pmod(F.xxhash64("key", "sha"), F.lit(step)) == 0).select("key", "sha").collect()
+    step = max(1, rows // min(shards * 64, MAX_SAMPLE))
+    some = keyed.where(F.pmod(F.xxhash64("key", "sha"), F.lit(step)) == 0).select("key", "sha").distinct().collect()
     some = sorted((r["key"] is not None, r["key"] or 0, r["sha"]) for r in some)
     return [some[len(some) * i // shards] for i in range(1, shards)] if some else []
 
@@ -142,12 +156,14 @@ def write_archive(
 ) -> DataFrame:
     """Writes a record per row of pages to the empty or new folder ``uri``; returns the manifest.
 
+    ``key`` is cast to a 64-bit number; text that is none fails as Spark's cast does.
     Of records with equal payloads of ``min_bytes`` or more, that with the
     largest key is a response and the others are revisits that refer to it;
     repeated rows with the largest key are all responses. A null payload is
     empty. A row without key is a revisit where its payload has a record with
-    one, else a response. A null URL is about:blank. Extra columns are not
-    written. An empty table gives an archive without files.
+    one, else a response. A null URL is about:blank. A very long payload is one
+    record, in memory once. Extra columns are not written, whatever their names.
+    An empty table gives an archive without files.
     """
     spark = pages.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -157,7 +173,7 @@ def write_archive(
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     src = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), body.alias("payload")).withColumn("sha", F.sha1("payload"))
     total = src.agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("bytes")).head()
-    shards = pieces_for(total["bytes"] or 0, shard_bytes)
+    shards = min(MAX_SHARDS, pieces_for(total["bytes"] or 0, shard_bytes))
     keyed = src.where(F.octet_length("payload") >= min_bytes).select("key", "sha")
     newest = checkpoint(keyed.groupBy("sha").agg(F.max("key").alias("newest"), F.count("*").alias("n")).where("n > 1 and newest is not null").drop("n"))
     revisits = keyed.join(newest, "sha").where("key is null or key < newest").select("key", "sha", F.col("newest").alias("refers_to")).distinct()
@@ -173,7 +189,7 @@ def write_archive(
     dealt = rows.mapInArrow(assign, "key bigint, sha string, kind int, refers_to bigint, url string, payload binary, shard int")
     dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "sha", "kind", "url")
     fs, folder = filesystem(uri)
-    fs.create_dir(folder, recursive=True)
+    fs.create_dir(f"{folder}/{UNNAMED}", recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, refers, known = None, None, None
@@ -197,6 +213,7 @@ def write_archive(
     dealt.mapInArrow(write, MANIFEST_SCHEMA).write.parquet(temporary)
     if hadoop.exists(path(f"{uri}/{MANIFEST}")) or not hadoop.rename(path(temporary), path(f"{uri}/{MANIFEST}")):
         raise FileExistsError(f"{uri} has a manifest already")
+    fs.delete_dir(f"{folder}/{UNNAMED}")
     return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{uri}/{MANIFEST}")
 
 

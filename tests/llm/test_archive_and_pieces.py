@@ -83,6 +83,29 @@ def test_small_payloads_are_never_revisits(spark, tmp_path):
     assert {r.record_type for r in read_archive(spark, f"file://{tmp_path}/w").where("payload_bytes = 0").collect()} == {"response"}
 
 
+def test_shards_are_bounded_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("flatscan.llm.warc.MAX_SHARDS", 3)
+    monkeypatch.setattr("flatscan.llm.warc.MAX_SAMPLE", 30)
+    rows = [(i, f"http://a/{i}", f"text {i}") for i in range(300)]
+    manifest = write_archive(pages(spark, rows), f"file://{tmp_path}/w", shard_bytes=10).collect()
+    assert {r.shard for r in manifest} == {0, 1, 2} and sum(r.records for r in manifest) == 300
+    assert sorted(r.key for r in read_archive(spark, f"file://{tmp_path}/w").collect()) == list(range(300))
+
+
+def test_a_task_that_runs_again_replaces_its_files(spark, tmp_path):
+    from flatscan.llm import warc
+
+    uri = f"file://{tmp_path}/w"
+    os.makedirs(f"{tmp_path}/w/{warc.UNNAMED}")
+    for lost in ("x", "y"):
+        open(f"{tmp_path}/w/{warc.UNNAMED}/part-000000-000000.warc.gz.{lost}", "w").close()
+    first = [list(w.add(warc.page_record(1, None, b"a", None))) + list(w.close()) for w in (warc.ShardWriter(uri, 0, 100),) * 2]
+    assert first[0][0][2] == "part-000000-000000.warc.gz"
+    write_archive(pages(spark, ROWS), uri)
+    assert not os.path.exists(f"{tmp_path}/w/{warc.UNNAMED}")
+    assert len(read_archive(spark, uri).collect()) == len(ROWS)
+
+
 def test_archive_of_nothing(spark, tmp_path):
     write_archive(pages(spark, []), f"file://{tmp_path}/w")
     assert read_archive(spark, f"file://{tmp_path}/w").collect() == []
