@@ -175,6 +175,24 @@ def test_multi_index_finds_all_within_the_radius():
         assert set(index.near(x).tolist()) == want
 
 
+def test_wide_index_meets_few_and_loses_none_of_the_similar():
+    draw = np.random.default_rng(5)
+    items = draw.integers(0, 1 << 64, (20_000, 45), np.uint64)
+    prints = simhash(items, 4)
+    index = MultiIndex(prints, 66, 16, 2)
+    windows = items[:400].copy()
+    windows[:, :5] = draw.integers(0, 1 << 64, (400, 5), np.uint64)  # 40 of 50 shingles: exactly 0.8
+    asked = simhash(windows, 4)
+    assert all(i in index.near(x) for i, x in enumerate(asked))
+    assert np.mean([len(index.met(x)) for x in asked[:100]]) < 0.05 * len(items)
+    # both ways of looking a block up find the same, and all within the guaranteed radius
+    few = MultiIndex(prints[:500], 47, 16, 2)
+    for x in asked[:20]:
+        far = np.bitwise_count(prints[:500] ^ x).sum(axis=1, dtype=np.int64)
+        assert set(few.near(x).tolist()) == set(np.flatnonzero(far <= 47).tolist())
+        assert set(few.met(x).tolist()) == {i for i in index.met(x).tolist() if i < 500}
+
+
 def test_simhash_is_near_for_near_windows():
     s = np.random.default_rng(2).integers(0, 1 << 64, (1, 40), np.uint64)
     near = s.copy()
