@@ -29,8 +29,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the chunks of lines that occurred before; n_chars follows the text."""
-    out = line_dedup(docs).select(docs.columns)
+    """All documents, without the chunks of lines that occurred before; n_chars follows the text.
+
+    A null text stays null; copies may end up with an empty text, which stays a
+    row. Ties and repeated rows keep their lines alike. An empty table stays empty.
+    """
+    out = line_dedup(docs, whole_runs=True).select(docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

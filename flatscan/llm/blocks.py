@@ -6,21 +6,30 @@ answers the blocks. A fingerprint that a third of all rows share therefore
 reaches its part once per block, never once per row. Messages are byte strings
 of packed arrays, one row for each block and part. All passes over the texts read
 one shuffle of them.
+
+Blocks and parts grow with the square root of the input, between 1 GB and the
+size at which blocks reach MOST_BYTES. In between, blocks times parts, and so
+messages, grow in proportion to the input; beyond, a message holds fewer
+fingerprints, down to one, and messages follow fingerprints.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from .common import fresh, pieces_for, text_bytes
 
 BLOCK_BYTES = 4 << 20
+MOST_BYTES = 32 << 20
+#: Up to so many blocks of BLOCK_BYTES, their size stays.
+FIRST_BLOCKS = 256
 #: A part owns the fingerprints of so many blocks' worth of text.
 BLOCKS_A_PART = 4
 LEAST = 24
@@ -32,16 +41,25 @@ TO_BLOCK = "block int, a binary, b binary, c binary"
 Message = tuple[int, bytes, bytes, bytes]
 
 
+def block_size(total: int, least: int) -> int:
+    """Bytes of a block of a text of ``total`` bytes in all, ``least`` of them up to FIRST_BLOCKS blocks."""
+    return max(least, min(math.isqrt(total * least // FIRST_BLOCKS), least * MOST_BYTES // BLOCK_BYTES))
+
+
 class Blocks:
     """docs with a block number, and passes over the blocks."""
 
     def __init__(self, docs: DataFrame, id: str, text: str, block_bytes: int = BLOCK_BYTES):
         self.id, self.text, self.schema = id, text, docs.schema
+        if not isinstance(docs.schema[id].dataType, IntegralType):
+            raise TypeError(f"{id} is {docs.schema[id].dataType.simpleString()}; ids must be whole numbers, for the least one stays")
         total = text_bytes(docs, text)
+        block_bytes = block_size(total, block_bytes)
         self.count = pieces_for(total, block_bytes, LEAST)
         self.parts = pieces_for(total, BLOCKS_A_PART * block_bytes, LEAST)
         self.column = fresh(docs, "__block")
-        number = F.pmod(F.xxhash64(F.col(id), F.crc32(F.col(text).cast("binary"))), F.lit(self.count))
+        # the piece of the input keeps rows that repeat very often from meeting in one block
+        number = F.pmod(F.xxhash64(F.col(id), F.crc32(F.col(text).cast("binary")), F.spark_partition_id()), F.lit(self.count))
         self.rows = docs.withColumn(self.column, number.cast("int"))
 
     def _reader(self) -> Callable[[pa.Table], tuple[np.ndarray, list[bytes | None], int]]:

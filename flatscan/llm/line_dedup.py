@@ -1,14 +1,17 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last lines ends a chunk where its value is
-a multiple of the mean length, so that a line more or less moves the bounds next
-to it and no others. Chunks of two lines or more that occur more than once in
-the corpus are removed but for their first occurrence, after their bytes have
-been compared.
-
-The chunks are the contract of op2's SQL, and lose passages whose bounds fall
-inside a chunk. With ``whole_runs`` the units are all pairs of neighbouring lines
-instead, and every run of pairs that stood earlier goes, wherever it begins.
+A rolling hash over the hashes of two neighbouring lines is taken at every line. A
+place where its value occurs again in the corpus, and the bytes of both lines with
+it, lies inside a repeated chunk; where it doesn't, a chunk ends. So the content
+alone sets the bounds, a line more or less moves only those next to it, and a
+passage is found wherever it begins. Chunks of two lines or more that stood earlier
+are removed whole (``whole_runs``, as op2 and the pipeline do it).
+
+The other mode cuts texts into fixed chunks first, which takes a third of the
+messages: a chunk ends where the rolling hash is a multiple of the mean length.
+Chunks of two lines or more that occur more than once are removed but for their
+first occurrence, after their bytes have been compared. It misses passages whose
+ends fall inside a chunk.
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections import deque
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .blocks import BLOCK_BYTES, Blocks, Message, answer
+from .words import BASES, mix
 
 MEAN_LINES = 3
 WINDOW = 2
@@ -71,12 +74,22 @@ def chunks_of(text: bytes | None, least: int = LEAST_LINES) -> tuple[list[bytes]
     return lines, out
 
 
-def pairs_of(text: bytes | None) -> tuple[list[bytes], list[tuple[int, int, bytes]]]:
-    """The lines of a text, and (first line, end, bytes) of every two neighbouring ones."""
+def hashed_chunks(text: bytes | None) -> tuple[list[bytes], list[tuple[int, int, bytes]]]:
+    """The lines of a text, and (first line, end, 16-byte hash) of its chunks of several lines."""
+    lines, own = chunks_of(text)
+    return lines, [(s, e, xxhash.xxh3_128_digest(body)) for s, e, body in own]
+
+
+def rolling_pairs(text: bytes | None) -> tuple[list[bytes], list[tuple[int, int, bytes]]]:
+    """The lines of a text, and (first line, end, 16-byte rolling hash) of every two neighbouring ones."""
     if text is None:
         return [], []
     lines = text.split(b"\n")
-    return lines, [(i, i + 2, b"%b\n%b" % two) for i, two in enumerate(pairwise(lines))]
+    if len(lines) < 2:
+        return lines, []
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.uint64).reshape(-1, 2)
+    rolled = mix(h[:-1] * np.array(BASES, np.uint64) + h[1:]).tobytes()
+    return lines, [(i, i + 2, rolled[16 * i : 16 * i + 16]) for i in range(len(lines) - 1)]
 
 
 def runs_of(lines: list[bytes], starts: list[int]) -> list[tuple[int, int]]:
@@ -109,21 +122,22 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", block_by
     it; rows with equal ids and texts keep theirs alike. A null id comes after
     all others. Lines end at \\n; a text keeps its other lines, joined by \\n, and
     may end up empty. A null text stays null and has no lines; an empty one has
-    one. Other columns stay, but for some named n_lines or n_removed.
+    one. A very long text is judged whole, in one block. Ids are whole numbers,
+    others are a TypeError. An empty table stays empty. Other columns stay,
+    whatever their names, but for some named n_lines or n_removed.
 
     whole_runs: instead of chunks, every run of two lines or more goes whose every
     two neighbouring lines stand so at a lesser id, or before them in the same one
     without sharing a line, if the run holds a word. Some copy of each line stays.
     """
-    units = pairs_of if whole_runs else chunks_of
+    units = rolling_pairs if whole_runs else hashed_chunks
     blocks = Blocks(docs, id, text, block_bytes)
     parts = blocks.parts
 
     def hashes(ids: np.ndarray, texts: list[bytes | None]) -> list[Message]:
         seen: dict[bytes, int] = {}
         for t in texts:
-            for _, _, body in units(t)[1]:
-                h = xxhash.xxh3_128_digest(body)
+            for _, _, h in units(t)[1]:
                 seen[h] = seen.get(h, 0) + 1
         return _deal({h: (bytes([n > 1]), b"") for h, n in seen.items()}, parts)
 
@@ -140,10 +154,10 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", block_by
         often = {a[i : i + 16] for a, _, _ in got for i in range(0, len(a), 16)}
         first: dict[tuple[bytes, bytes], tuple[int, int]] = {}
         for d, t in zip(ids.tolist(), texts, strict=True):
-            for start, _, body in units(t)[1]:
-                h = xxhash.xxh3_128_digest(body)
+            lines, own = units(t)
+            for start, end, h in own:
                 if h in often:
-                    key, place = (h, body), (d, start)
+                    key, place = (h, b"\n".join(lines[start:end])), (d, start)
                     first[key] = min(first.get(key, place), place)
         by: dict[int, list] = {}
         for (h, body), place in sorted(first.items()):
@@ -167,10 +181,11 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", block_by
 
     def remove(ids: np.ndarray, texts: list[bytes | None], got: list[tuple[bytes, bytes, bytes]]) -> dict[str, pa.Array]:
         first = {a[24 * i : 24 * i + 24]: place for a, b, _ in got for i, place in enumerate(struct.iter_unpack("<qq", b))}
+        known = {h[:16] for h in first}
         kept, n_lines, n_removed = [], [], []
         for d, t in zip(ids.tolist(), texts, strict=True):
             lines, own = units(t)
-            at = [(s, e, first.get(xxhash.xxh3_128_digest(body) + xxhash.xxh3_64_digest(body, 1), (d, s))) for s, e, body in own] if first else []
+            at = [(s, e, first.get(h + xxhash.xxh3_64_digest(b"\n".join(lines[s:e]), 1), (d, s))) for s, e, h in own if h in known]
             if whole_runs:
                 gone = runs_of(lines, [s for s, _, (i, k) in at if i < d or k + 2 <= s])
             else:

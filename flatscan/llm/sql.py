@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from . import decontamination as dc
 from . import license_scan as ls
-from . import line_dedup as ld
 from . import quality_rules as qr
 from . import url_filters as uf
 from .common import WORD
@@ -31,23 +30,19 @@ select doc_id, cast(n as bigint) as n_words, cast(m as bigint) as n_removed, sha
 
 def op2() -> str:
     return f"""
-with a as (select row_number() over () as rid, doc_id, text, string_split(text, chr(10)) as lines from documents),
-l as (select rid, doc_id, unnest(lines) as line, unnest(range(len(lines))) as i, len(lines) as n from a where text is not null),
-h as (select *, cast('0x' || substr(md5(line), 1, 8) as hugeint) as h from l),
-r as (select *, (coalesce(lag(h) over (partition by rid order by i), 0) * {ld.BASE} + h) % {1 << ld.BITS} as roll from h),
-e as (select *, case when (roll // 256) % {ld.MEAN_LINES} = 0 then 1 else 0 end as stop from r),
-c as (select *, coalesce(sum(stop) over (partition by rid order by i rows between unbounded preceding and 1 preceding), 0) as chunk from e),
+with a as (select row_number() over () as rid, coalesce(doc_id, 9223372036854775807) as d, doc_id, text, string_split(text, chr(10)) as lines from documents),
+l as (select rid, d, unnest(lines) as line, unnest(range(len(lines))) as i from a where text is not null),
+p as (select *, lead(line) over (partition by rid order by i) as next from l),
+f as (select rid, i, line, d, min((d, i)) over (partition by line, next) as first from p where next is not null),
+o as (select rid, i, i - row_number() over (partition by rid order by i) as run from f where first[1] < d or (first[1] = d and first[2] + 2 <= i)),
+r as (select rid, min(i) as low, max(i) + 1 as high from o group by rid, run),
 g as (
-  select rid, doc_id, chunk, min(i) as start, count(*) as size, string_agg(line, chr(10) order by i) as body
-  from c group by all having count(*) >= {ld.LEAST_LINES}),
-f as (
-  select rid, chunk, coalesce(doc_id, 9223372036854775807) as d, start,
-    min((coalesce(doc_id, 9223372036854775807), start)) over (partition by body) as first
-  from g where regexp_matches(body, '{WORD}')),
-x as (select rid, chunk from f where (d, start) > first),
+  select r.rid, r.low, r.high from r join l on l.rid = r.rid and l.i between r.low and r.high
+  group by r.rid, r.low, r.high having bool_or(regexp_matches(l.line, '{WORD}'))),
+x as (select distinct l.rid, l.i from g join l on l.rid = g.rid and l.i between g.low and g.high),
 k as (
-  select c.rid, count(*) as n_lines, count(x.chunk) as n_removed, string_agg(line, chr(10) order by i) filter (x.chunk is null) as kept
-  from c left join x on c.rid = x.rid and c.chunk = x.chunk group by c.rid)
+  select l.rid, count(*) as n_lines, count(x.i) as n_removed, string_agg(line, chr(10) order by l.i) filter (x.i is null) as kept
+  from l left join x on l.rid = x.rid and l.i = x.i group by l.rid)
 select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed,
   case when text is not null then sha256(coalesce(kept, '')) end as kept_sha256
 from a left join k using (rid)

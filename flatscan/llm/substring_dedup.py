@@ -5,7 +5,9 @@ window stands for one of its parts of that level's length, the least by hash; th
 choice depends on the words alone, so equal windows choose equal parts, and parts
 chosen by neighbouring windows are mostly the same place. Only windows whose part
 occurs in more than one document are extended to the next level's length; a block
-that has none left sends nothing on. The last level compares whole windows. A
+that has none left sends nothing on, and a level that no block sends anything to is
+passed over in no time. The last level compares whole windows, by 128 bits of two
+hashes whose word hashes are drawn apart. A
 level asks the parts that own its hashes and hears back which are repeated (see
 blocks).
 """
@@ -43,7 +45,8 @@ class Windows:
     """The whole windows of a block of texts: their places, documents and hashes."""
 
     def __init__(self, ids: np.ndarray, texts: list[bytes | None], window: int):
-        self.hashes, self.counts = hash_texts([t or b"" for t in texts])
+        self.texts = [t or b"" for t in texts]
+        self.hashes, self.counts = hash_texts(self.texts)
         self.window = window
         own = owners(self.counts)
         self.at = np.flatnonzero(inside(self.counts, window))
@@ -58,8 +61,9 @@ class Windows:
         return mix(sliding_min(ngrams(self.hashes, length), self.window - length + 1)[self.at])
 
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of each window."""
-        first, second = (ngrams(self.hashes, self.window, b)[self.at] for b in BASES)
+        """Two hashes of each window, from hashes of its words that don't depend on each other: equal in both means equal words."""
+        other, _ = hash_texts(self.texts, 1)
+        first, second = (ngrams(h, self.window, b)[self.at] for h, b in zip((self.hashes, other), BASES, strict=True))
         return first, second
 
 
@@ -169,9 +173,12 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     Words part at ASCII white space; those kept are joined by one space. Windows
     are judged on the input, not on what is left. n_words and n_removed (long)
     count words; spans holds (first word, end) of each removed run. A null text
-    stays null, has no words and removes none; texts shorter than a window stay
-    whole. Rows with equal ids don't remove each other's words; a null id comes
-    after all others. Other columns stay, but for some of those three names.
+    stays null, has no words and removes none; empty texts and those shorter than
+    a window lose nothing. A very long text is judged whole, in one block. Rows
+    with equal ids don't remove each other's words, so ties and repeated rows keep
+    theirs alike; a null id comes after all others. Ids are whole numbers, others
+    are a TypeError. An empty table stays empty. Other columns stay, whatever
+    their names, but for some of those three names.
     """
     blocks = Blocks(docs, id, text, block_bytes)
     parts = blocks.parts

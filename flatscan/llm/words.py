@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -32,14 +33,15 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def hash_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def hash_texts(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, one text after the other, and the number of words of each text.
 
     bytes.split() parts at the six ASCII white-space characters and at no other.
     """
     split = [t.split() for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, int(counts.sum())), counts
+    digest = partial(xxhash.xxh3_64_intdigest, seed=seed) if seed else xxhash.xxh3_64_intdigest
+    return np.fromiter(map(digest, chain.from_iterable(split)), np.uint64, int(counts.sum())), counts
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from flatscan.llm.blocks import Blocks, block_size
 from flatscan.llm.line_dedup import chunk_ends, chunks_of, line_dedup
 from flatscan.llm.near_duplicates import depth_for, keep_one, near_duplicates, neighbours, sequences, verify, verify_sets
 from flatscan.llm.substring_dedup import levels, substring_dedup
@@ -159,6 +160,35 @@ def test_whole_runs_find_every_repeated_passage(spark):
     assert sum(x[3] for x in brute_lines(rows)) < sum(map(len, passages))
 
 
+def test_ids_must_be_numbers(spark):
+    table = spark.createDataFrame([("a", "b c")], "doc_id string, text string")
+    for fn in (substring_dedup, line_dedup):
+        with pytest.raises(TypeError, match="whole numbers"):
+            fn(table)
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    long = [f"line {i}" for i in range(30_000)]
+    rows = [(1, "\n".join(long)), (2, "\n".join(["own", *long, "last"])), (3, "x" * 500_000), (4, "x" * 500_000)]
+    got = line_dedup(spark.createDataFrame(rows_of(rows), SCHEMA), block_bytes=1000, whole_runs=True).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.n_removed) for r in got] == [(30_000, 0), (30_002, 30_000), (1, 0), (1, 0)]
+    assert got[1].text == "own\nlast" and got[3].text == rows[3][1]
+
+
+def test_blocks_grow_with_the_root_of_the_input():
+    assert [block_size(n << 20, 4 << 20) >> 20 for n in (1, 500, 1024, 4096, 30_000, 65_536, 1 << 30)] == [4, 4, 4, 8, 21, 32, 32]
+    messages = [(n << 20) ** 2 / block_size(n << 20, 4 << 20) ** 2 / 4 / (n << 20) for n in (1024, 4096, 30_000, 65_536)]
+    assert max(messages) < 1.01 * min(messages)
+
+
+def test_repeated_rows_do_not_meet_in_one_block(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    table = spark.createDataFrame(rows_of([(1, same)] * 64 + [(2, same)] * 64), SCHEMA).repartition(8)
+    assert Blocks(table, "doc_id", "text").rows.select("__block").distinct().count() > 6
+    got = substring_dedup(table).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0)] * 64 + [(2, 40)] * 64
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 

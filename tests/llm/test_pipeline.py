@@ -7,7 +7,7 @@ from flatscan.llm import queries
 from flatscan.llm.decontamination import shingles, weighted_jaccard
 from flatscan.llm.pieces import encode_texts, vocabulary
 from flatscan.llm.quality_classifier import Features, fit
-from test_dedup import brute_groups, brute_lines
+from test_dedup import brute_groups, brute_runs
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +20,7 @@ def plain(spark):
         if model.scores(model.margins(1, *Features().of([t.encode()])))[0] >= 0.3:
             kept.append((i, t))
     yield kept
-    kept = [(i, t) for i, t, _, _ in brute_lines(kept)]
+    kept = [(i, t) for i, t, _, _ in brute_runs(kept)]
     yield kept
     groups = {i: c for i, c, _, _ in brute_groups(kept)}
     kept = [(i, t) for i, t in kept if groups[i] == i]
