@@ -2,6 +2,8 @@
 
 ``path`` is a file, a folder or a glob. One file is parsed on the driver; many
 are parsed on executors, each file by one task, and no footer passes the driver.
+Pages are walked a column chunk at a time; a worker that goes on with the same
+file doesn't parse its footer again.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from ..options import ReaderOptions
 from ..sources import annotations as an
 from ..sources.footer import ENCODINGS, FileMetadata, open_metadata
 from ..sources.pages import walk
-from ..sources.ranges import PathSource, RangeSource
+from ..sources.ranges import PathSource, RangeSource, filesystem
 
 
 class HadoopSource:
@@ -152,7 +154,7 @@ def metadata(spark: SparkSession, path: str, table: str, options: ReaderOptions
 
 
 def pages(spark: SparkSession, path: str, columns: list[int] | None = None, payloads: bool = False, options: ReaderOptions | None = None) -> DataFrame:
-    """The pages of all files at the path, walked strictly; one task a column chunk."""
+    """The pages of all files at the path, walked strictly; column chunks are dealt to the tasks."""
     chunks = metadata(spark, path, "column_chunks", options).select("file", "row_group", "column")
     if columns is not None:
         chunks = chunks.where(F.col("column").isin(columns))
@@ -167,9 +169,19 @@ def pages(spark: SparkSession, path: str, columns: list[int] | None = None, payl
     return _on_executors(chunks.repartition("file", "row_group", "column"), StructType.fromDDL(f"file string, {PAGES}"), rows)
 
 
+#: The footer that this worker parsed last, by what tells files and options apart.
+_parsed: dict[tuple, FileMetadata] = {}
+
+
 def _open(path: str, options: ReaderOptions | None) -> tuple[RangeSource, FileMetadata]:
     source = PathSource(path)
-    return source, open_metadata(source, options)
+    fs, name = filesystem(path)
+    key = path, source.length, fs.get_file_info(name).mtime_ns, options
+    if key not in _parsed:
+        m = open_metadata(source, options)
+        _parsed.clear()
+        _parsed[key] = m
+    return source, _parsed[key]
 
 
 def _on_executors(df: DataFrame, schema: StructType, fn: Callable[[dict], Iterator[tuple]], lot: int = 4096) -> DataFrame:

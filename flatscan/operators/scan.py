@@ -1,8 +1,10 @@
 """Projected scans of one file: chosen columns over chosen row groups and rows.
 
-The native lane is Spark's own reader with a filter on the row index; column
-pruning, codecs and decoding are Spark's. The row-group lane opens selected
-groups only. Both give physical values, with the row's place in the file.
+The native lane is Spark's own reader; column pruning, codecs and decoding are
+Spark's, and rows are kept by their index, so it reads every group. The row-group
+lane opens selected groups only. Both give physical values, with the row's place
+in the file. Unless a lane is named, a scan of less than half of a file's rows
+takes the row-group lane, any other the native one.
 """
 
 from __future__ import annotations
@@ -49,58 +51,87 @@ def scan(
     row_groups: list[int] | None = None,
     rows: RowRange | None = None,
     target_rows: int = 65_536,
-    lane: str = "native",
+    lane: str | None = None,
     identity: bool = False,
     options: ReaderOptions | None = None,
 ) -> DataFrame:
     """The chosen columns, in the given order, as physical values.
 
     identity adds row_index (in the file) and row_group. Rows come in no order;
-    sort by row_index where order counts. lane is "native", "row_group", or
-    "strict", which decodes by this library's own rules and fails where they do.
+    sort by row_index where order counts. lane is "native", "row_group", "strict",
+    which decodes by this library's own rules and fails where they do, or None:
+    the cheaper one of the first two.
     """
     file, meta, p = describe(spark, path, ScanOptions(columns, row_groups, rows, target_rows), options)
-    if lane not in ("native", "row_group", "strict"):
+    if lane not in (None, "native", "row_group", "strict"):
         raise ValueError(f"there is no lane {lane!r}")
-    out = _native(spark, file, meta, p) if lane == "native" else _row_groups(spark, file, p) if lane == "row_group" else _strict(spark, file, p, options)
+    if lane is None:
+        lane = "row_group" if 2 * sum(s.count for s in p.segments) < meta.rows else "native"
+    if lane == "native":
+        return _native(spark, file, meta, p, identity)
+    out = _row_groups(spark, file, meta, p) if lane == "row_group" else _strict(spark, file, p, options)
     return out if identity else out.drop("row_index", "row_group")
 
 
-def _native(spark: SparkSession, file: str, meta: FileMetadata, p: ScanPlan) -> DataFrame:
+#: So many intervals of rows are tested one by one; more are looked up.
+FEW = 8
+PLACES = "bucket bigint, low bigint, high bigint, row_group bigint"
+
+
+def _native(spark: SparkSession, file: str, meta: FileMetadata, p: ScanPlan, identity: bool) -> DataFrame:
     names = [c.name for c in meta.columns if c.element.parent == 0]
     if any(names.count(c.name) > 1 for c in p.columns):
         raise UnsupportedFeatureError("a column's name repeats; the row-group lane reads it by ordinal")
     schema = StructType([StructField(c.name, read_type(c.element)) for c in p.columns])
-    place = F.col("_metadata.row_index")
-    df = spark.read.schema(schema).parquet(file).select("*", place.alias("row_index"))
+    values = [physical_value(F.col(f"`{c.name}`"), c.element).alias(n) for c, n in zip(p.columns, p.names, strict=True)]
+    df = spark.read.schema(schema).parquet(file).select(*values, F.col("_metadata.row_index").alias("row_index"))
     runs: list[list[int]] = []
     for s in p.segments:  # neighbouring segments are one interval
         if runs and runs[-1][1] == s.start:
             runs[-1][1] += s.count
         else:
             runs.append([s.start, s.start + s.count])
-    if runs != [[0, meta.rows]]:
-        at = F.col("row_index")
-        tests = [(at >= a) & (at < b) for a, b in runs]
-        df = df.where(reduce(lambda x, y: x | y, tests, F.lit(False)))
-    group = F.lit(None).cast("long")
-    for s in p.segments:
-        group = F.when(F.col("row_index") >= meta.groups[s.group].offset, F.lit(s.group).cast("long")).otherwise(group)
-    values = [physical_value(F.col(f"`{c.name}`"), c.element).alias(n) for c, n in zip(p.columns, p.names, strict=True)]
-    return df.select(*values, "row_index", group.alias("row_group"))
-
-
-def _row_groups(spark: SparkSession, file: str, p: ScanPlan) -> DataFrame:
+    whole, at = runs == [[0, meta.rows]], F.col("row_index")
+    out = [*p.names, "row_index", "row_group"]
+    if len(runs) <= FEW and (not identity or len(p.segments) <= FEW):
+        if not whole:
+            df = df.where(reduce(lambda x, y: x | y, [(at >= a) & (at < b) for a, b in runs], F.lit(False)))
+        group = reduce(lambda x, s: F.when(at >= s.start, F.lit(s.group).cast("long")).otherwise(x), p.segments, F.lit(None).cast("long"))
+        return df.withColumn("row_group", group).select(out) if identity else df.select(p.names)
+    # a row finds its segment among those of its bucket; a plan's depth doesn't grow with the segments
+    step = max(1, meta.rows // (2 * len(p.segments)))
+    pieces = [(k, s.start, s.start + s.count, s.group) for s in p.segments for k in range(s.start // step, (s.start + s.count - 1) // step + 1)]
+    places = F.broadcast(spark.createDataFrame(pieces, PLACES))
+    found = df.withColumn("bucket", F.floor(at / step)).join(places, "bucket").where((at >= F.col("low")) & (at < F.col("high")))
+    return found.select(out if identity else p.names)
+
+
+#: Compressed bytes of the chosen chunks that one partition of the row-group lane reads, if a group has no more.
+PARTITION_BYTES = 16 << 20
+
+
+def _row_groups(spark: SparkSession, file: str, meta: FileMetadata, p: ScanPlan) -> DataFrame:
+    """Partitions of neighbouring segments; the footer is parsed once, on the driver."""
     spark.dataSource.register(RowGroupSource)
-    meta_rows = [(s.group, s.start, s.count) for s in p.segments]
-    source = open_metadata(HadoopSource(spark, file))
-    segments = [[g, start - source.groups[g].offset, count, start] for g, start, count in meta_rows]
+    partitions: list[list[list[int]]] = []
+    room = 0
+    for s in p.segments:
+        group = meta.groups[s.group]
+        size = sum(group.chunks[c.ordinal].meta["compressed"] for c in p.columns)
+        if size > room:
+            partitions.append([])
+            room = PARTITION_BYTES
+        partitions[-1].append([s.group, s.start - group.offset, s.count, s.start])
+        room -= size
+    leaves = [{"path": c.element.path, "physical": c.element.physical, "type_length": c.element.raw.get("type_length")} for c in p.columns]
+    fields = [StructField(n, PLAIN_TYPES[c.element.physical]) for n, c in zip(p.names, p.columns, strict=True)]
     return (
         spark.read.format(NAME)
+        .schema(StructType([*fields, StructField("row_index", LongType()), StructField("row_group", LongType())]))
         .option("path", file)
-        .option("columns", json.dumps([c.ordinal for c in p.columns]))
+        .option("leaves", json.dumps(leaves))
         .option("names", json.dumps(p.names))
-        .option("segments", json.dumps(segments))
+        .option("partitions", json.dumps(partitions))
         .option("target", str(p.target_rows))
         .load()
     )

@@ -1,7 +1,7 @@
 """The scan engine's operators as queries over the tables, and their DuckDB SQL.
 
-SQL that needs a file's own numbering of rows, or its footer, names the file at
-the scale where the driver compares.
+SQL that needs a file's own numbering of rows, or its footer, names the file; the
+caller says in which folder. made_queries has those over files written anew.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import made_queries
 from .operators.batches import batch_identity, fixed_batches, offsets, validity
-from .operators.checksum import group_checksums
+from .operators.checksum import PRIME, SEED, SEPARATOR, group_checksums
 from .operators.metadata import metadata, pages, summary
 from .operators.scan import scan
 from .options import RowRange, ScanOptions
 
 Query = Callable[[SparkSession, str], DataFrame]
-SF = "/root/testdata/sf0.01"
 ANNOTATED = ("lineitem", "events", "orders")
 
 
@@ -168,18 +168,34 @@ def bn_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {k: f for k, f in globals().items() if k[:3] in ("md_", "sc_", "pg_", "bt_", "bn_")}
-
-
-def _numbered(table: str) -> str:
-    return f"read_parquet('{SF}/{table}.parquet', file_row_number=true)"
-
-
-def _footer(fn: str, table: str) -> str:
-    return f"{fn}('{SF}/{table}.parquet')"
-
-
-def oracle_sql() -> dict[str, str]:
+    return {k: f for k, f in globals().items() if k[:3] in ("md_", "sc_", "pg_", "bt_", "bn_")} | made_queries.queries()
+
+
+def oracle_sql(sf_dir: str) -> dict[str, str]:
+    """DuckDB SQL by query; sf_dir is the folder of the tables' files."""
+
+    def _numbered(table: str) -> str:
+        return f"read_parquet('{sf_dir}/{table}.parquet', file_row_number=true)"
+
+    def _footer(fn: str, table: str) -> str:
+        return f"{fn}('{sf_dir}/{table}.parquet')"
+
+    # the checksum's fold, in 128-bit arithmetic; numbers of 32 bits count with their sign
+    seed, whole = f"cast({SEED} as hugeint)", "cast(18446744073709551616 as hugeint)"
+    half = lambda x: f"(case when {x} >= 2147483648 then {x} + cast(18446744069414584320 as hugeint) else {x} end)"
+    low = lambda x: half(f"({x} & cast(4294967295 as hugeint))")
+    high = lambda x: half(f"(({x} >> cast(32 as hugeint)) & cast(4294967295 as hugeint))")
+    mixed = lambda s, v: f"xor(({s} * cast({PRIME} as hugeint)) % {whole}, {v})"
+    long = lambda s, v: mixed(mixed(s, low(v)), high(v))
+    folded = lambda c: f"select list_reduce(list_prepend({seed}, list(u order by row, part)), lambda s, v: {mixed('s', 'v')}) as h from {c}"
+    checksum = f"""
+with r as (select file_row_number as row, cast(l_orderkey as hugeint) as k, cast(ascii(l_returnflag) as hugeint) as f from {_numbered('lineitem')}),
+a as (select row, 0 as part, {low('k')} as u from r union all select row, 1, {high('k')} from r),
+b as (select row, 0 as part, f as u from r union all select row, 1, cast({SEPARATOR} as hugeint) from r),
+x as ({folded('a')}), y as ({folded('b')}),
+z as (select {long('x.h', seed)} as x, {long('y.h', seed)} as y from x, y),
+o as (select {long(seed, 'x')} as s, y from z), t as (select {long('s', 'y')} as c from o)
+select cast(0 as bigint) as row_group, (select count(*) from r) as row_count, cast(case when c >= {whole} // 2 then c - {whole} else c end as bigint) as checksum from t"""
     annotated = " union all ".join(
         f"""select '{t}' as table_name, name,
           case when converted_type is null and logical_type is null then 'NONE'
@@ -217,10 +233,16 @@ def oracle_sql() -> dict[str, str]:
         "pg_dictionary_expand": f"select encode(l_returnflag) as l_returnflag, encode(l_linestatus) as l_linestatus, file_row_number as row_index from {_numbered('lineitem')}",
         "pg_pages": f"""select cast(row_group_id as int) as row_group, cast(column_id as int) as "column", num_values as value_count from {_footer('parquet_metadata', 'lineitem')}""",
         "pg_reconcile": f"""select cast(row_group_id as int) as row_group, cast(column_id as int) as "column", total_uncompressed_size, total_compressed_size from {_footer('parquet_metadata', 'orders')}""",
+        # the tables' pages end every 20,000 rows, or at the end
+        "bt_identity": """with n as (select count(*) as n from lineitem),
+p as (select 20000 * i as a, least(20000 * (i + 1), n) as b from range(1000) t(i), n where 20000 * i < n),
+c as (select a + 4096 * k as row_offset, b from p, range(5) t(k) where a + 4096 * k < b)
+select row_offset, cast(0 as int) as row_group, row_offset as offset_in_group, least(4096, b - row_offset) as row_count from c""",
+        "bn_checksum": checksum,
         "bt_cover": "select count(*) as row_count, cast(0 as bigint) as first_row, count(*) as end_row from lineitem",
         "bt_fixed": f"select file_row_number // 4096 as batch, min(file_row_number) as row_offset, count(*) as row_count from {_numbered('lineitem')} group by 1",
         "bt_validity_bytes": f"""select file_row_number // 8 as byte_index, cast(bit_or(case when nullif(l_linenumber, 1) is null then 0 else 1 << cast(file_row_number % 8 as int) end) as int) as bits
           from {_numbered('lineitem')} group by 1""",
         "bt_offsets": f"""select file_row_number as row_index, cast(sum(n) over w - n as bigint) as begin, cast(sum(n) over w as bigint) as "end"
           from (select file_row_number, octet_length(encode(o_orderpriority)) as n from {_numbered('orders')}) window w as (partition by file_row_number // 4096 order by file_row_number)""",
-    }
+    } | made_queries.oracle_sql(sf_dir)

@@ -1,4 +1,4 @@
-"""The row-group lane: a data source with one partition for each selected group.
+"""The row-group lane: a data source whose partitions are runs of selected row groups.
 
 Groups that aren't selected are never opened, and no batch crosses groups. Each
 task holds one Arrow batch of the target size at a time.
@@ -7,75 +7,78 @@ task holds one Arrow batch of the target size at a time.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
+from typing import Any, NamedTuple
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from ..functions.physical import PLAIN_TYPES, physical_array
-from .footer import open_metadata
-from .ranges import PathSource, filesystem
+from ..functions.physical import physical_array
+from .ranges import filesystem
 
 NAME = "flatscan_row_groups"
 
 
-class Group(InputPartition):
-    def __init__(self, group: int, skip: int, count: int, row: int):
-        self.group, self.skip, self.count, self.row = group, skip, count, row
+class Leaf(NamedTuple):
+    """What decoding asks of a schema element."""
+
+    path: tuple[str, ...]
+    physical: str
+    raw: dict[str, Any]
+
+
+class Segments(InputPartition):
+    """(group, rows to skip, rows, first row in the file) of each segment."""
+
+    def __init__(self, segments: list[list[int]]):
+        self.segments = segments
 
 
 class RowGroupSource(DataSource):
-    """Options: path, columns and segments as JSON, names as JSON, target, identity."""
+    """Options: path, target, and as JSON the leaves to read, their names in the output, and the segments of each partition.
+
+    The schema is given by the reader's caller, who has parsed the footer.
+    """
 
     @classmethod
     def name(cls) -> str:
         return NAME
 
-    def _elements(self) -> list:
-        source = PathSource(self.options["path"])
-        try:
-            meta = open_metadata(source)
-        finally:
-            source.close()
-        return [meta.columns[i].element for i in json.loads(self.options["columns"])]
-
-    def schema(self) -> StructType:
-        names = json.loads(self.options["names"])
-        out = [StructField(n, PLAIN_TYPES[e.physical]) for n, e in zip(names, self._elements(), strict=True)]
-        return StructType([*out, StructField("row_index", LongType()), StructField("row_group", LongType())])
-
     def reader(self, schema: StructType) -> DataSourceReader:
-        return RowGroupReader(self.options, self._elements())
+        return RowGroupReader(self.options)
 
 
 class RowGroupReader(DataSourceReader):
-    def __init__(self, options: dict, elements: Sequence):
-        self.path, self.elements = options["path"], elements
-        self.columns = json.loads(options["columns"])
-        self.names, self.segments = json.loads(options["names"]), json.loads(options["segments"])
-        self.target = int(options["target"])
+    def __init__(self, options: dict):
+        self.path, self.target = options["path"], int(options["target"])
+        self.leaves = [Leaf(tuple(x["path"]), x["physical"], {"type_length": x["type_length"]}) for x in json.loads(options["leaves"])]
+        self.names, self.parts = json.loads(options["names"]), json.loads(options["partitions"])
 
     def partitions(self) -> list[InputPartition]:
-        return [Group(*s) for s in self.segments] or [Group(-1, 0, 0, 0)]
+        return [Segments(x) for x in self.parts] or [Segments([])]
 
-    def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
-        if partition.group < 0:
+    def read(self, partition: Segments) -> Iterator[pa.RecordBatch]:
+        if not partition.segments:
             return
         fs, name = filesystem(self.path)
         with fs.open_input_file(name) as f:
             file = pq.ParquetFile(f, page_checksum_verification=True)
-            paths = [".".join(e.path) for e in self.elements]
-            at, end, row = 0, partition.skip + partition.count, partition.row - partition.skip
-            for batch in file.iter_batches(self.target, row_groups=[partition.group], columns=list(dict.fromkeys(paths))):
-                low, high = max(at, partition.skip), min(at + batch.num_rows, end)
-                if low < high:
-                    part = batch.slice(low - at, high - low)
-                    arrays = [physical_array(part.column(batch.schema.names.index(p)), e) for p, e in zip(paths, self.elements, strict=True)]
-                    rows = pa.array(range(row + low, row + high), pa.int64())
-                    groups = pa.array([partition.group] * (high - low), pa.int64())
-                    yield pa.RecordBatch.from_arrays([*arrays, rows, groups], [*self.names, "row_index", "row_group"])
-                at += batch.num_rows
-                if at >= end:
-                    return
+            for segment in partition.segments:
+                yield from self._segment(file, *segment)
+
+    def _segment(self, file: pq.ParquetFile, group: int, skip: int, count: int, first: int) -> Iterator[pa.RecordBatch]:
+        paths = [".".join(e.path) for e in self.leaves]
+        at, end, row = 0, skip + count, first - skip
+        for batch in file.iter_batches(self.target, row_groups=[group], columns=list(dict.fromkeys(paths))):
+            low, high = max(at, skip), min(at + batch.num_rows, end)
+            if low < high:
+                part = batch.slice(low - at, high - low)
+                arrays = [physical_array(part.column(batch.schema.names.index(p)), e) for p, e in zip(paths, self.leaves, strict=True)]
+                rows = pa.array(range(row + low, row + high), pa.int64())
+                groups = pa.array([group] * (high - low), pa.int64())
+                yield pa.RecordBatch.from_arrays([*arrays, rows, groups], [*self.names, "row_index", "row_group"])
+            at += batch.num_rows
+            if at >= end:
+                return

@@ -13,9 +13,12 @@ from flatscan import queries
 ROOT = os.path.dirname(os.path.abspath(entry.__file__))
 
 
-@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+SQL = queries.oracle_sql(entry.SF_DIR)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_scan_queries_equal_their_sql(spark, name):
-    assert differences(queries.queries()[name](spark, queries.SF), queries.oracle_sql()[name], queries.SF) == []
+    assert differences(queries.queries()[name](spark, entry.SF_DIR), SQL[name], entry.SF_DIR) == []
 
 
 def test_entry_is_a_row_range(spark):

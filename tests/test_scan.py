@@ -2,6 +2,7 @@
 
 import decimal
 import io
+import threading
 
 import numpy as np
 import pyarrow as pa
@@ -452,6 +453,101 @@ def test_metadata_tables_of_many_files(spark, tmp_path):
         metadata(spark, f"{tmp_path}/none", "columns")
 
 
+def test_a_file_of_many_groups(spark, tmp_path):
+    path = f"{tmp_path}/f.parquet"
+    pq.write_table(pa.table({"a": pa.array(range(10_000), pa.int32()), "b": [f"{i}" for i in range(10_000)]}), path, row_group_size=2)
+    for kw, want in (({}, range(10_000)), ({"row_groups": [*range(0, 5000, 2)]}, [i for i in range(10_000) if i % 4 < 2]), ({"rows": RowRange(4001, 10)}, range(4001, 4011))):
+        for lane in (None, "native", "row_group"):
+            out = scan(spark, path, ["a"], lane=lane, identity=True, **kw)
+            assert sorted((r.a, r.row_index, r.row_group) for r in out.collect()) == [(i, i, i // 2) for i in want]
+    assert scan(spark, path, ["a"], lane="native").count() == 10_000
+
+
+def test_a_short_range_opens_its_group_alone(spark, tmp_path):
+    path = f"{tmp_path}/f.parquet"
+    pq.write_table(pa.table({"a": list(range(5000))}), path, row_group_size=100, use_dictionary=False, compression="none", write_page_checksum=True)
+    m = open_metadata(BytesSource(open(path, "rb").read()))
+    data = bytearray(open(path, "rb").read())
+    for g in m.groups[:17] + m.groups[18:]:
+        data[g.chunks[0].first_page + g.chunks[0].meta["compressed"] - 1] ^= 1
+    open(path, "wb").write(data)
+    # every other group is broken, and nobody looks at one
+    assert sorted(r.a for r in scan(spark, path, ["a"], rows=RowRange(1750, 10)).collect()) == [*range(1750, 1760)]
+    out = scan(spark, path, ["a"], rows=RowRange(1750, 10))
+    assert out.rdd.getNumPartitions() == 1
+    with pytest.raises(Exception, match="[Cc]hecksum|CRC"):
+        scan(spark, path, ["a"], rows=RowRange(1690, 20)).collect()
+
+
+def test_partitions_hold_neighbouring_groups(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/f.parquet"
+    pq.write_table(pa.table({"a": list(range(5000))}), path, row_group_size=100)
+    assert scan(spark, path, ["a"], lane="row_group").rdd.getNumPartitions() == 1
+    monkeypatch.setattr("flatscan.operators.scan.PARTITION_BYTES", 1)
+    assert scan(spark, path, ["a"], lane="row_group").rdd.getNumPartitions() == 50
+
+
+def test_batches_halve_until_they_fit():
+    t = pa.table({"a": pa.array(range(100), pa.int64())}, schema=pa.schema([pa.field("a", pa.int64(), nullable=False)]))
+    f = io.BytesIO()
+    pq.write_table(t, f)
+    assert [x[3] for x in batches(f.getvalue(), [0], options=ReaderOptions(scan_pooled_bytes=300))] == [25, 37, 19, 19]
+    assert {x[3] for x in batches(f.getvalue(), [0], options=ReaderOptions(scan_pooled_bytes=8))} == {1}
+    with pytest.raises(LimitExceededError):
+        batches(f.getvalue(), [0], options=ReaderOptions(scan_pooled_bytes=7))
+
+
+class Slow(BytesSource):
+    """Waits in its reads, once told to, until it is let go."""
+
+    def __init__(self, data):
+        super().__init__(data)
+        self.wait, self.reached, self.go, self.closed = False, threading.Event(), threading.Event(), False
+
+    def read(self, offset, size):
+        if self.wait:
+            self.reached.set()
+            assert self.go.wait(10)
+        assert not self.closed
+        return super().read(offset, size)
+
+    def close(self):
+        self.closed = True
+
+
+def test_closing_waits_for_a_decode_and_cancels_it():
+    source = Slow(file([[column(*[[i] for i in range(50)])]]))
+    f = FlatFile(source)
+    source.wait, got = True, []
+
+    def pull():
+        try:
+            got.append(next(f.scan(ScanOptions([0]))))
+        except Cancelled as e:
+            got.append(e)
+
+    one_, two = threading.Thread(target=pull), threading.Thread(target=f.close)
+    one_.start()
+    assert source.reached.wait(10)
+    two.start()
+    two.join(0.2)
+    # the source stays open under the read, and the decode ends at its next page
+    assert two.is_alive() and not source.closed
+    source.go.set()
+    one_.join(10)
+    two.join(10)
+    assert [type(x) for x in got] == [Cancelled] and source.closed
+
+
+def test_closing_ends_a_scan_between_batches():
+    source = Slow(FIVE)
+    f = FlatFile(source)
+    s = f.scan(ScanOptions([0]))
+    next(s).dispose()
+    f.close()
+    assert source.closed and next(s, None) is None
+
+
 def test_repeated_names_go_by_ordinal(spark, tmp_path):
     path = f"{tmp_path}/f.parquet"
     open(path, "wb").write(file([[column([1, 2]), column([3, 4])]], names=("x", "x")))
