@@ -6,12 +6,15 @@ from the end, each with its share of the sum. No piece of a vocabulary goes on
 past a word's end into the next white space, so the lattice falls apart into
 words, and drawing word by word gives exactly the lattice's distribution. Each
 different word of a chunk is filtered once; all its occurrences draw from the
-same table. The random numbers are hashes of the row's key, the word's number
+same table. Words are filtered and sampled side by side, a place at a time; what
+goes on past LONG places (texts without spaces) is done word by word, in time that
+grows with its length. The random numbers are hashes of the row's key, the word's number
 and the draw's, so a row is segmented alike in each run and on each executor.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -32,6 +35,10 @@ MARK = "▁".encode()
 WIDTH = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16, np.int32)
 UNIT = re.compile(rb" *[^ \n]+| +|\n")
 CHUNK_BYTES = 3 << 18
+#: Bytes of a word, and pieces of an occurrence, that are worked on side by side with others.
+LONG = 512
+#: Edges that are Python numbers at a time.
+EDGES = 1 << 16
 
 
 @dataclass
@@ -138,6 +145,7 @@ class Lattice:
     upto: np.ndarray
     start: np.ndarray  # node where an edge starts
     piece: np.ndarray
+    first: np.ndarray  # first edge that ends in each node, and one more entry
 
     @classmethod
     def of(cls, words: list[bytes], v: Vocabulary, theta: float) -> Lattice:
@@ -189,10 +197,11 @@ class Lattice:
         sums = np.full(len(text) + len(words), -np.inf)
         sums[begin] = 0
         # places of equal distance from their word's start, from left to right
-        far = end - begin[owner]
-        longest = int(far.max()) if len(far) else 0
-        by = np.argsort(far.astype(np.uint16) if longest < 1 << 16 else far, kind="stable")
-        cuts = np.searchsorted(far[by], np.arange(1, longest + 2))
+        side = np.flatnonzero(size[owner] <= LONG) if len(size) and size.max() > LONG else np.arange(len(owner))
+        far = (end - begin[owner])[side]
+        by = np.argsort(far.astype(np.uint16), kind="stable")
+        cuts = np.searchsorted(far[by], np.arange(1, int(far.max()) + 2 if len(far) else 1))
+        by = side[by]
         for a, b in zip(cuts, cuts[1:], strict=False):
             e = by[a:b]
             if not len(e):
@@ -204,6 +213,9 @@ class Lattice:
             total = np.add.reduceat(np.exp(value - np.repeat(safe, np.diff(np.append(new, len(e))))), new)
             with np.errstate(divide="ignore"):
                 sums[to[new]] = safe + np.log(total)
+        for w in np.flatnonzero(size > LONG):
+            a, b = np.searchsorted(end, (begin[w], begin[w] + size[w] + 1))
+            sums[begin[w] : begin[w] + size[w] + 1] = _forward(int(begin[w]), int(size[w]), start[a:b], end[a:b], weight[a:b])
         reached = np.isfinite(sums[end]) & np.isfinite(sums[start])
         start, end, piece, weight = start[reached], end[reached], piece[reached], weight[reached]
         share = np.exp(sums[start] + weight - sums[end])
@@ -214,7 +226,8 @@ class Lattice:
         if len(end):
             last = np.append(new[1:], len(end)) - 1
             upto[last] = end[last] + 1.0
-        return cls(begin, begin + size, upto, start, piece)
+        first = np.searchsorted(end, np.arange(len(sums) + 1))
+        return cls(begin, begin + size, upto, start, piece, first)
 
     def sample(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all occurrences, in order, and how many each has."""
@@ -222,7 +235,7 @@ class Lattice:
         node, stop, live = self.end[word[order]], self.begin[word[order]], order
         seed, count = seed[order], np.zeros(len(word), np.int64)
         steps = []
-        while len(live):
+        while len(live) and len(steps) < LONG:
             draw = (mix(seed + np.uint64(len(steps) + 1)) >> np.uint64(11)) * 2.0**-53
             edge = np.searchsorted(self.upto, node + draw, side="right")
             # rounding can make the sum reach the next node's
@@ -232,12 +245,58 @@ class Lattice:
             count[live] += 1
             more = node != stop
             live, node, stop, seed = live[more], node[more], stop[more], seed[more]
+        rest = {}
+        for at, n, to, s in zip(live.tolist(), node.tolist(), stop.tolist(), seed, strict=True):
+            rest[at] = self._walk(n, to, s, len(steps))
+            count[at] += len(rest[at])
         out = np.empty(int(count.sum()), np.int32)
         last = np.cumsum(count) - 1
         for k, (at, piece) in enumerate(steps):
             out[last[at] - k] = piece
+        for at, pieces in rest.items():
+            upto = last[at] - len(steps) + 1
+            out[upto - len(pieces) : upto] = pieces[::-1]
         return out, count
 
+    def _walk(self, node: int, stop: int, seed: np.uint64, step: int) -> list[int]:
+        """Pieces from a node back to the first one, the last piece first; draws as the steps before it did."""
+        out, draws = [], []
+        while node != stop:
+            if not draws:
+                draws = ((mix(seed + np.arange(step + 1, step + EDGES + 1, dtype=np.uint64)) >> np.uint64(11)) * 2.0**-53)[::-1].tolist()
+                step += EDGES
+            x = node + draws.pop()
+            edge, last = int(self.first[node]), int(self.first[node + 1]) - 1
+            while edge < last and self.upto[edge] <= x:
+                edge += 1
+            out.append(int(self.piece[edge]))
+            node = int(self.start[edge])
+        return out
+
+
+def _forward(begin: int, size: int, start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> list[float]:
+    """Log sums of all paths to each node of one word, whose edges come in the order of their ends."""
+    sums = [-math.inf] * (size + 1)
+    sums[0] = 0.0
+    now, held = -1, []
+    for at in range(0, len(start), EDGES):
+        lot = slice(at, at + EDGES)
+        for i, v, w in zip((start[lot] - begin).tolist(), (end[lot] - begin).tolist(), weight[lot].tolist(), strict=True):
+            if v != now:
+                if held:
+                    sums[now] = _log_sum(held)
+                now, held = v, []
+            if sums[i] > -math.inf:
+                held.append(sums[i] + w)
+    if held:
+        sums[now] = _log_sum(held)
+    return sums
+
+
+def _log_sum(x: list[float]) -> float:
+    top = max(x)
+    return top + math.log(sum(math.exp(y - top) for y in x))
+
 
 def encode_texts(texts: list[bytes], keys: list, v: Vocabulary, theta: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts, one after the other, and how many each has. An empty text has none."""
@@ -260,8 +319,10 @@ def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text",
     """docs with ``out``: the piece ids of a segmentation drawn for the row's id.
 
     theta sharpens the distribution: weights are taken to that power. A null text
-    has null pieces, an empty one has none. Rows with equal ids and texts get
-    equal pieces, null ids too. A column named ``out`` is replaced. Where
+    has null pieces, an empty one has none. A very long text is encoded whole, in
+    time and memory that grow with it, also where it has no space. Rows with equal
+    ids and texts get equal pieces, null ids too; ids may be of any type. An empty
+    table stays empty. A column named ``out`` is replaced, others stay. Where
     ``decoded`` names a column, it gets what decoding makes of the pieces, in the
     same pass.
     """

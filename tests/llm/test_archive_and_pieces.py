@@ -8,9 +8,12 @@ import hashlib
 import math
 import os
 import random
+import re
+import time
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from flatscan.llm import queries, sql
@@ -149,6 +152,73 @@ def test_samples_follow_the_lattice():
     assert all(abs(seen[k] / n - p) < 4 * math.sqrt(p * (1 - p) / n) + 1e-3 for k, p in want.items())
 
 
+def plain_pieces(text, key, v, seed=0):
+    """The pieces of a text by plain loops: sums of path weights to each place, then draws from the end of each word."""
+    by = {p: i for i, p in enumerate(v.parts) if p and v.byte_ids[p[0]] != i}
+    row, out = xxhash.xxh3_64_intdigest(str(key), seed), []
+    m = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & m
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & m
+        return h ^ (h >> 31)
+
+    for place, word in enumerate(re.findall(rb" *[^ \n]+| +|\n", b" " + text) if text else []):
+        edges = {j: [] for j in range(len(word) + 1)}
+        at = 0
+        for c in word.decode().encode("utf-32-le").decode("utf-32-le"):
+            n = len(c.encode())
+            for size in range(1, v.longest + 1):
+                if at + size <= len(word) and (i := by.get(word[at : at + size])) is not None:
+                    edges[at + size].append((size, i))
+            if word[at : at + n] not in by:
+                for k in range(n):
+                    edges[at + k + 1].append((1, int(v.byte_ids[word[at + k]])))
+            at += n
+        total = {0: 0.0}
+        for j in range(1, len(word) + 1):
+            own = [total[j - n] + v.weight[i] for n, i in edges[j] if j - n in total]
+            if own:
+                total[j] = max(own) + math.log(sum(math.exp(x - max(own)) for x in own))
+        start, back, step = mixed((row + place * 0x9E3779B97F4A7C15) & m), [], 0
+        j = len(word)
+        while j:
+            step += 1
+            draw, upto = (mixed((start + step) & m) >> 11) * 2.0**-53, 0.0
+            for n, i in sorted(edges[j]):
+                if j - n not in total:
+                    continue
+                upto += math.exp(total[j - n] + v.weight[i] - total[j])
+                if draw < upto:
+                    break
+            back.append(i)
+            j -= n
+        out += back[::-1]
+    return out
+
+
+def test_pieces_equal_a_plain_version():
+    v = vocabulary(MODEL)
+    draw = random.Random(11)
+    texts = [*TEXTS, "".join(draw.choices("abcdefgh+/=", k=1500)), "天地玄黄宇宙洪荒日月盈昃辰宿列张" * 40, "the quick brown fox jumps over it " * 8]
+    data = [t.encode() for t in texts]
+    ids, n = encode_texts(data, list(range(len(data))), v, 1.0, 0)
+    got = np.split(ids, np.cumsum(n)[:-1])
+    same = [g.tolist() == plain_pieces(t, k, v) for k, (g, t) in enumerate(zip(got, data, strict=True))]
+    assert all(same), [texts[k][:20] for k, x in enumerate(same) if not x]
+
+
+def test_long_words_take_time_in_proportion():
+    v = vocabulary(MODEL)
+    draw = random.Random(12)
+    word = "".join(draw.choices("ABCDEFabcdef0123456789+/", k=1_000_000)).encode()
+    began = time.perf_counter()
+    ids, n = encode_texts([word], [1], v, 1.0, 0)
+    assert decode_ids(ids, n, v) == [word] and time.perf_counter() - began < 60
+    chinese = ("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏" * 2000).encode()
+    assert decode_ids(*encode_texts([chinese, chinese], [1, 2], v, 1.0, 0), v) == [chinese] * 2
+
+
 def test_samples_depend_on_the_key_alone(spark):
     rows = [(i, t, "x") for i, t in enumerate([*TEXTS, "the quick brown fox " * 20])] + [(99, None, "x"), (None, "abc def", "x"), (12, "the quick brown fox " * 20, "x")]
     table = spark.createDataFrame(rows, "doc_id long, text string, pieces string")
