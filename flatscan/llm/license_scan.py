@@ -1,11 +1,15 @@
 """License scans: ordered signature rules over a text's words.
 
-A text becomes its lower-cased words, each wrapped in spaces of its own, so that
-rules match whole words and two matches never share a boundary. Every rule has a
-keyword that must occur before its regex is tried, and one regex over all
-keywords sets most texts aside first. Detections are word intervals; one that
-lies inside an earlier or longer one is suppressed, and of equal ones the rule
-of higher priority stays. All of it is one projection of built-in functions.
+A text becomes its words, A-Z lower-cased, each wrapped in spaces of its own, so
+that rules match whole words and two matches never share a boundary. Every rule has
+a keyword that must occur before its regex is tried, and one regex over all
+keywords sets most texts aside first. Detections are word intervals, taken from
+left to right: one that lies inside the last that stays is suppressed, and of equal
+ones the rule of higher priority stays; where it overlaps the last in part, the one
+of higher priority stays, or else the first. All of it is one projection of
+built-in functions, in which each regex that is tried runs once.
+
+Names of licences are written by hand; their versions follow one pattern.
 """
 
 from __future__ import annotations
@@ -184,25 +188,34 @@ def _words_in(s: Column) -> Column:
 
 def _detections(norm: Column, r: Column) -> Column:
     """Word intervals of one rule's matches: start, minus end, priority, rule."""
-    found = F.regexp_extract_all(norm, r["regex"], F.lit(0))
-    between = F.slice(F.split(norm, r["regex"]), F.lit(1), F.size(found))
-    steps = F.zip_with(between, found, lambda a, b: F.struct(_words_in(a).alias("gap"), _words_in(b).alias("n")))
+    # one pass sets a mark before and after each match; words have no such characters
+    parts = F.split(F.regexp_replace(norm, r["regex"], F.lit("\x01$0\x02")), "\x01")
+    steps = F.transform(
+        F.slice(parts, F.lit(2), F.size(parts) - 1),
+        lambda p: F.struct(_words_in(F.substring_index(p, "\x02", 1)).alias("n"), _words_in(F.substring_index(p, "\x02", -1)).alias("gap")),
+    )
     empty = F.array().cast("array<struct<start:int,minus_end:int,priority:int,id:int>>")
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        one = F.struct(start.alias("start"), (-(start + x["n"])).alias("minus_end"), r["priority"].alias("priority"), r["id"].alias("id"))
-        return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        end = acc["at"] + x["n"]
+        one = F.struct(acc["at"].alias("start"), (-end).alias("minus_end"), r["priority"].alias("priority"), r["id"].alias("id"))
+        return F.struct((end + x["gap"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    return F.aggregate(steps, F.struct(_words_in(F.get(parts, 0)).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def license_scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    A null or empty text has no words, empty labels and score 0. The score is the
-    confidence of the strongest detection that stays. Repeated rows are scanned
-    one by one. Extra columns stay, but those named like an output are replaced.
+    A null or empty text has no words, empty labels and score 0. A very long text
+    is scanned whole. The score is the confidence of the strongest detection that
+    stays; base detections count and label whether they stay or not. Ties of equal
+    intervals go to the higher priority, then to the earlier rule. Repeated rows
+    are scanned one by one; an empty table stays empty. Extra columns stay, but
+    those named like an output are replaced.
     """
     trimmed, norm, hits, kept = (fresh(docs, f"__l_{x}") for x in ("trimmed", "norm", "hits", "kept"))
     fields = [
@@ -216,24 +229,30 @@ def license_scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     if not all(r.base for r in rules[:n_base]):
         raise ValueError("base rules come first")
     # one array of base detections, in the order of the table, and one of all
-    out = docs.withColumn(trimmed, F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD, "  ")))
+    out = docs.withColumn(trimmed, F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, UPPER.lower()), NOT_WORD, "  ")))
     out = out.withColumn(norm, F.concat(F.lit(" "), F.col(trimmed), F.lit(" ")))
     tried = F.filter(table, lambda r: F.contains(F.col(norm), r["keyword"]))
     found = F.flatten(F.transform(tried, lambda r: _detections(F.col(norm), r)))
     out = out.withColumn("n_words", F.when(F.col(trimmed) == "", F.lit(0)).otherwise(_words_in(F.col(norm))).cast("long"))
     out = out.withColumn(hits, F.when(F.col(norm).rlike(gate(rules)), F.array_sort(found)))
 
+    last = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("priority"), F.lit(-1).alias("id"))
+
     def sweep(acc: Column, x: Column) -> Column:
-        stays = -x["minus_end"] > acc["end"]
+        now, end = acc["last"], -x["minus_end"]
+        one = F.struct(end.alias("end"), x["priority"].alias("priority"), x["id"].alias("id"))
+        apart = x["start"] >= now["end"]
+        wins = (end > now["end"]) & (x["priority"] < now["priority"])
         return F.struct(
-            F.greatest(acc["end"], -x["minus_end"]).alias("end"),
-            F.when(stays, F.array_union(acc["ids"], F.array(x["id"]))).otherwise(acc["ids"]).alias("ids"),
+            F.when(apart | wins, one).otherwise(now).alias("last"),
+            F.when(apart, F.array_union(acc["ids"], F.array(now["id"]))).otherwise(acc["ids"]).alias("ids"),
         )
 
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<int>").alias("ids"))
+    start = F.struct(last.alias("last"), F.array().cast("array<int>").alias("ids"))
+    stays = F.aggregate(F.col(hits), start, sweep, lambda acc: F.filter(F.array_union(acc["ids"], F.array(acc["last"]["id"])), lambda i: i >= 0))
     base = F.filter(F.col(hits), lambda x: x["id"] < n_base)
     name = lambda ids: F.transform(ids, lambda i: F.get(labels, i))
-    out = out.withColumn(kept, F.aggregate(F.col(hits), start, sweep, lambda acc: acc["ids"]))
+    out = out.withColumn(kept, stays)
     none = F.array().cast("array<string>")
     base_labels = F.coalesce(F.array_sort(F.array_distinct(name(F.transform(base, lambda x: x["id"])))), none)
     out = out.withColumns(

@@ -114,9 +114,9 @@ def op5() -> str:
         f"({i}, {_text(r.label)}, {_text(' ' + r.keyword + ' ')}, {_text(r.regex)}, {r.priority}, {r.confidence}, {r.base})" for i, r in enumerate(ls.RULES)
     )
     return rf"""
-with rules(id, label, keyword, regex, priority, confidence, base) as (values
+with recursive rules(id, label, keyword, regex, priority, confidence, base) as (values
 {rules}),
-a as (select row_number() over () as rid, doc_id, trim(regexp_replace(lower(coalesce(text, '')), '{ls.NOT_WORD}', '  ', 'g'), ' ') as t from documents),
+a as (select row_number() over () as rid, doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ls.NOT_WORD}', '  ', 'g'), ' ') as t from documents),
 b as (select rid, doc_id, t, ' ' || t || ' ' as norm from a),
 m as (
   select rid, id, label, priority, confidence, base, regexp_extract_all(norm, regex) as found, string_split_regex(norm, regex) as gaps
@@ -129,13 +129,23 @@ n as (
 u as (select * exclude (found, gaps), found, gaps, unnest(range(1, len(found) + 1)) as k from n),
 s as (
   select rid, id, label, priority, confidence, base, coalesce(list_sum(gaps[1:k]), 0) + coalesce(list_sum(found[1:k - 1]), 0) as pos, found[k] as n from u),
-e as (select *, pos + n as upto, max(pos + n) over (partition by rid order by pos, -(pos + n), priority, id rows between unbounded preceding and 1 preceding) as before from s),
+e as (select *, pos + n as upto, row_number() over (partition by rid order by pos, -(pos + n), priority, id) as k from s),
+w(rid, k, last, upto, priority, stays) as (
+  select rid, k, k, upto, priority, cast([] as bigint[]) from e where k = 1
+  union all
+  select w.rid, e.k,
+    case when e.pos >= w.upto or (e.upto > w.upto and e.priority < w.priority) then e.k else w.last end,
+    case when e.pos >= w.upto or (e.upto > w.upto and e.priority < w.priority) then e.upto else w.upto end,
+    case when e.pos >= w.upto or (e.upto > w.upto and e.priority < w.priority) then e.priority else w.priority end,
+    case when e.pos >= w.upto then list_append(w.stays, w.last) else w.stays end
+  from w join e on e.rid = w.rid and e.k = w.k + 1),
+f as (select rid, list_append(arg_max(stays, k), arg_max(last, k)) as stays from w group by rid),
 d as (
-  select rid, count(*) filter (base) as n_base, min(pos) filter (base) as first_word, max(pos) filter (base) as last_word,
+  select e.rid, count(*) filter (base) as n_base, min(pos) filter (base) as first_word, max(pos) filter (base) as last_word,
     list_sort(list_distinct(list(label) filter (base))) as base_labels,
-    list_sort(list_distinct(list(label) filter (base or before is null or upto > before))) as labels,
-    max(confidence) filter (before is null or upto > before) as score
-  from e group by rid)
+    list_sort(list_distinct(list(label) filter (base or list_contains(f.stays, e.k)))) as labels,
+    max(confidence) filter (list_contains(f.stays, e.k)) as score
+  from e join f on f.rid = e.rid group by e.rid)
 select doc_id, cast((length(norm) - length(replace(norm, ' ', ''))) // 2 - (case when t = '' then 1 else 0 end) as bigint) as n_words,
   cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
   coalesce(array_to_string(base_labels, ','), '') as base_labels, coalesce(array_to_string(labels, ','), '') as labels,

@@ -59,6 +59,44 @@ def test_license_rules_resolve_overlaps(spark):
     assert len(ls.RULES) > 200 and all(" " not in r.keyword for r in ls.RULES)
 
 
+#: What notices say, written here by hand, and the label that each must get.
+NAMED = (
+    ("GNU General Public License, version 2.0", "gpl-2.0"), ("GNU GPL v3", "gpl-3.0"), ("GPL-3.0", "gpl-3.0"), ("LGPL 2.1", "lgpl-2.1"), ("GNU Library General Public Licence v2.0", "lgpl-2.0"),
+    ("GNU Affero General Public License v3.0", "agpl-3.0"), ("GNU Free Documentation License, Version 1.3", "gfdl-1.3"), ("Apache License, Version 2.0", "apache-2.0"), ("Apache Software License 1.1", "apache-1.1"),
+    ("Mozilla Public License, v. 2.0", "mpl-2.0"), ("MPL 1.1", "mpl-1.1"), ("Eclipse Public License v1.0", "epl-1.0"), ("EPL 2.0", "epl-2.0"), ("Eclipse Distribution License 1.0", "edl-1.0"),
+    ("CDDL 1.1", "cddl-1.1"), ("Common Public License version 1.0", "cpl-1.0"), ("European Union Public Licence 1.2", "eupl-1.2"), ("Artistic License 2.0", "artistic-2.0"), ("PHP License 3.01", "php-3.01"),
+    ("Boost Software License - Version 1.0", "boost-1.0"), ("zlib license", "zlib"), ("ISC License", "isc"), ("the MIT licence", "mit"), ("Expat license", "mit"), ("X11 License", "x11"),
+    ("modified BSD license", "bsd"), ("3-clause BSD license", "bsd-3-clause"), ("Two clause BSD", "bsd-2-clause"), ("The Unlicense", "unlicense"), ("into the public domain", "public-domain"),
+    ("SIL Open Font License 1.1", "ofl-1.1"), ("Open Database License v1.0", "odbl-1.0"), ("PostgreSQL License", "postgresql"), ("Academic Free License version 3.0", "afl-3.0"), ("Microsoft Public License", "ms-pl"),
+    ("Server Side Public License v1", "sspl-1.0"), ("Business Source License 1.1", "busl-1.1"), ("Elastic License 2.0", "elastic-2.0"), ("LaTeX Project Public License 1.3", "lppl-1.3"), ("CC0 1.0", "cc0-1.0"),
+    ("CC BY-SA 4.0", "cc-by-sa-4.0"), ("CC-BY-NC-ND 3.0", "cc-by-nc-nd-3.0"), ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa-4.0"), ("Creative Commons Attribution-NonCommercial 2.5", "cc-by-nc-2.5"),
+    ("SPDX-License-Identifier: X", "spdx"), ("Permission is hereby granted, free of charge", "permission-notice"), ("WITHOUT WARRANTY OF ANY KIND", "warranty-notice"),
+)
+
+
+def test_license_names_get_their_labels(spark):
+    got = ls.license_scan(docs(spark, [f"Some words before, {t}; and some after." for t, _ in NAMED])).orderBy("doc_id").collect()
+    wrong = [(t, want, r.labels) for r, (t, want) in zip(got, NAMED, strict=True) if want not in r.labels.split(",")]
+    assert wrong == []
+    none = ls.license_scan(docs(spark, ["A licence to drive, the general public, a common source of free software in a database; apache helicopters and mozilla."])).head()
+    assert (none.labels, none.score, none.n_base) == ("", 0.0, 0)
+
+
+def test_license_words_lose_the_case_of_a_to_z_alone(spark):
+    # the Kelvin sign and the dotted I aren't letters of A-Z
+    got = ls.license_scan(docs(spark, ["M\u0130T License", "MIT LICEN\u017fE", "A\u212a MIT License"])).orderBy("doc_id").collect()
+    assert [(r.n_base, r.n_words) for r in got] == [(0, 2), (0, 2), (1, 3)]
+
+
+def test_license_overlaps_are_resolved_by_priority(spark):
+    rules = tuple(ls.Rule(x, k, ls._wrapped(w), p, c, b) for x, k, w, p, c, b in (("base", "a", "a b", 5, 0.9, True), ("mid", "b", "b c d", 3, 0.5, False), ("low", "d", "d e", 4, 0.4, False), ("in", "c", "c", 0, 0.8, False), ("top", "e", "e f", 1, 0.7, False)))
+    texts = ["a b", "a b c d", "b c d e", "c", "d e f", "a b c d e f", "b c d x d e"]
+    got = ls.license_scan(docs(spark, texts), rules=rules).orderBy("doc_id").collect()
+    assert [(r.base_labels, r.labels, r.score) for r in got] == [
+        ("base", "base", 0.9), ("base", "base,mid", 0.5), ("", "mid", 0.5), ("", "in", 0.8), ("", "top", 0.7), ("base", "base,mid,top", 0.7), ("", "low,mid", 0.5),
+    ]
+
+
 def test_every_license_rule_needs_its_keyword():
     for r in ls.RULES:
         # a word of the keyword stands in each alternative that the regex names outright
