@@ -2,7 +2,9 @@
 
 Each stage takes the documents that the one before it kept and returns their
 columns; the last returns the encoded texts. Between stages the rows are written
-as Parquet, so a stage never runs the ones before it again.
+as Parquet, so a stage never runs the ones before it again; what no stage reads any
+more is deleted. Texts of any length go through whole, and columns of other names
+than documents has stay as far as the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flatscan.llm.common import new_dir, spread, table
+from flatscan.llm.common import new_dir, remove_dir, spread, table
 from flatscan.llm.decontamination import decontaminate
 from flatscan.llm.line_dedup import line_dedup
 from flatscan.llm.near_duplicates import keep_one
@@ -22,7 +24,11 @@ THRESHOLD = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject.
+
+    A null text is judged as an empty one. Ties at the threshold stay, and repeated
+    rows stay or go together. An empty table stays empty; without labels all stay.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"))
     kept = "__p_score"
     return score(docs, model, out=kept).where(F.col(kept) >= THRESHOLD).drop(kept)
@@ -39,17 +45,30 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the least id."""
+    """One document of each group of near-duplicates, that of the least id.
+
+    Empty texts are one group; rows with a null text all stay. Of repeated rows one
+    stays. An empty table stays empty.
+    """
     return keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together. An
+    empty table stays empty, and without items all stay.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, pieces, lossless): a sampled segmentation of each document, and whether it decodes to the text."""
+    """(doc_id, n_pieces, pieces, lossless): a sampled segmentation of each document, and whether it decodes to the text.
+
+    A null text has null pieces and decodes to null; an empty one has none. Rows
+    with equal ids and texts get equal pieces. An empty table stays empty. Other
+    columns are not returned, whatever their names.
+    """
     out = encode(docs.select("doc_id", "text"), PIECE_MODEL, decoded="decoded")
     n = F.coalesce(F.size("pieces"), F.lit(0)).cast("long")
     return out.select("doc_id", n.alias("n_pieces"), "pieces", F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
@@ -75,5 +94,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{folder}/{k}")
+        if k:
+            remove_dir(spark, f"{folder}/{k - 1}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
     return docs

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_folder, shared_folder
+
 #: A word: a run of characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,11 +25,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset (tests only)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="flatscan-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    """The folder in spark.checkpoint.dir; without that setting a temporary one for a local master, and an error for a cluster."""
+    found = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -44,7 +40,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def new_dir(spark: SparkSession, prefix: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    return new_folder(spark, prefix)
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that the session knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -82,10 +84,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
         state = seen
-        least = now.groupBy("a").agg(F.min("b").alias("m"))
+        # written, so that a join can split the rows of one root
+        least = checkpoint(now.groupBy("a").agg(F.min("b").alias("m")))
         star = now.join(least, "a")
         star = star.select("a", F.col("m").alias("b")).unionByName(star.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         star = checkpoint(star.distinct())
-        ahead = star.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b")
+        ahead = checkpoint(star.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b"))
         now = checkpoint(star.join(ahead, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
     raise RuntimeError("components did not settle")

@@ -4,8 +4,8 @@ A text is the set of its n-gram indicators: words and pairs of words, and shapes
 of words and pairs of shapes. Each indicator is scaled by the log ratio of its
 smoothed frequencies in the two classes; a linear model with hinge loss is then
 fitted by dual coordinate descent, and a logistic curve turns margins into
-scores. The model is fitted on a bounded sample of labelled rows; scoring is one
-pass over all texts, without a shuffle.
+scores. The model is fitted on a sample of labelled rows that is bounded in rows and
+in bytes; scoring is one pass over all texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -143,19 +143,30 @@ def logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 5000
+    docs: DataFrame,
+    labels: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    max_rows: int = 5000,
+    max_bytes: int = 64 << 20,
 ) -> Model:
     """A model from labelled rows whose id is not held out.
 
-    The sample is the ``max_rows`` labelled ids with the smallest hashes, so it
-    is the same in each run and its size doesn't grow with the input. Rows
-    without id or with a label other than 0 and 1 are left out. Without rows of
-    both classes every score is the smoothed rate of label 1.
+    The sample is the ``max_rows`` labelled ids with the smallest hashes, as far as
+    their indicators (four bytes each) take ``max_bytes`` in all; so it is the same
+    in each run, and what reaches the driver doesn't grow with the input. Rows
+    without id or with a label other than 0 and 1 are left out; of rows with equal
+    ids one counts, that with the least hash of its text. A null text is an empty
+    one, a very long one counts whole. An id with both labels counts for both.
+    Without rows of both classes, as for empty tables, every score is the smoothed
+    rate of label 1. No other column is looked at, whatever its name.
     """
     known = labels.select(F.col(id).alias("k"), F.col(label).cast("int").alias("y"))
-    known = known.where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k")))
+    known = known.where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k"))).distinct()
     known = known.orderBy(F.xxhash64("k"), "k", "y").limit(max_rows)
-    sample = docs.select(F.col(id).alias("k"), F.col(text).cast("binary").alias("t")).join(F.broadcast(known), "k")
+    found = docs.select(F.col(id).alias("k"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t")).join(F.broadcast(known), "k")
+    sample = found.groupBy("k", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -167,7 +178,10 @@ def fit(
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([part["k"], part["y"], pa.array(packed, pa.binary())], ["k", "y", "x"])
 
-    got = sample.mapInArrow(extract, f"k {dict(docs.dtypes)[id]}, y int, x binary").toArrow().to_pylist()
+    rows = sample.mapInArrow(extract, f"k {dict(docs.dtypes)[id]}, y int, x binary")
+    # one task, of the bounded sample's rows alone
+    upto = F.sum(F.octet_length("x")).over(Window.orderBy(F.xxhash64("k"), "k", "y").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    got = rows.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("k", "y", "x").toArrow().to_pylist()
     got.sort(key=lambda r: (r["k"], r["y"], r["x"]))
     rows = [np.frombuffer(r["x"], np.int32).astype(np.int64) for r in got]
     y = np.array([2 * r["y"] - 1 for r in got], float)
@@ -191,7 +205,7 @@ def fit(
     return out
 
 
-def held_out(id):  # noqa: ANN001, ANN201
+def held_out(id: Column) -> Column:
     """Rows that no model learns from: crc32 of the id as text is a multiple of 5; a null id counts as held out."""
     return F.coalesce(F.pmod(F.crc32(id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
@@ -200,8 +214,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     """docs with ``out``, a double from 0 to 1, for every row.
 
     A null text is scored as an empty one, which has no indicators: its score is
-    that of the bias alone. Repeated rows get equal scores. A column of the name
-    ``out`` is replaced; all others stay.
+    that of the bias alone. A very long text is scored whole. Repeated rows get
+    equal scores; an empty table stays empty. A column of the name ``out`` is
+    replaced; all others stay.
     """
     docs = docs.drop(out)
 
@@ -216,9 +231,21 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
 
 def quality_classifier(
-    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.3, max_rows: int = 5000
+    docs: DataFrame,
+    labels: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    threshold: float = 0.3,
+    max_rows: int = 5000,
+    max_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """docs with held_out, score and predicted (1 where the score reaches the threshold)."""
-    model = fit(docs, labels, id, text, max_rows=max_rows)
+    """docs with held_out, score and predicted (1 where the score reaches the threshold).
+
+    ``fit`` says what is learnt from, ``score`` what null, empty and very long texts
+    and repeated rows get. A row without id counts as held out. An empty table of
+    texts stays empty; without labels every score is 0.5. Columns named like an
+    output are replaced, all others stay.
+    """
+    model = fit(docs, labels, id, text, max_rows=max_rows, max_bytes=max_bytes)
     out = score(docs, model, text)
     return out.withColumns({"held_out": held_out(F.col(id)), "predicted": (F.col("score") >= threshold).cast("int")})

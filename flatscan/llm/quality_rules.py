@@ -123,9 +123,10 @@ def quality_rules(
 ) -> DataFrame:
     """docs with all metrics, ``base_failed`` and ``kept``.
 
-    Null, empty and one-word texts are short and fail the base rule. Repeated
-    rows are judged row by row. Extra columns pass through, except those named
-    like a metric or verdict, which are replaced.
+    Null, empty and one-word texts are short and fail the base rule. A very long
+    text is measured whole. A ratio that ties with a bound passes. Repeated rows
+    are judged row by row; an empty table stays empty. Extra columns pass through,
+    except those named like a metric or verdict, which are replaced.
     """
     out = measure(docs, text)
     out = out.withColumn("base_failed", failed(base))

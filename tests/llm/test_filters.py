@@ -1,14 +1,18 @@
 """License scans, URL filters, quality rules and the classifier."""
 
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from flatscan.llm import license_scan as ls
 from flatscan.llm.quality_classifier import Features, Vocabulary, coordinate_descent, fit, held_out, log_count_ratio, quality_classifier, score
+from flatscan.llm.queries import op6_quality_classifier
 from flatscan.llm.quality_rules import METHOD, WINDOW, Threshold, quality_rules
 from flatscan.llm.url_filters import RULES, url_filters
 
@@ -179,6 +183,15 @@ def test_quality_metrics_equal_brute_force(spark):
         assert not (r.base_failed and r.kept) and r.hits == "x"
 
 
+def test_quality_rules_take_long_texts_and_clashing_names(spark):
+    long = " ".join(f"the w{i}" for i in range(40_000))
+    rows = [(1, long, "x", 1.0), (2, long + "\n" + long, "x", 1.0), (2, None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_words string, kept double")
+    got = quality_rules(table).orderBy("doc_id", "n_words").collect()
+    assert [(r.doc_id, r.n_words, r.n_repeat_words, r.kept) for r in got] == [(1, 80_000, 0, True), (2, 0, 0, False), (2, 160_000, 160_000, False)]
+    assert set(table.columns) <= set(got[0].__fields__) and quality_rules(table.limit(0)).collect() == []
+
+
 def test_thresholds_are_a_table(spark):
     table = (Threshold("few_lines", "n_lines", low=2),)
     got = quality_rules(docs(spark, ["a b", "a\nb", None]), base=(), method=table).orderBy("doc_id").collect()
@@ -236,6 +249,126 @@ def test_sample_is_bounded(spark):
     assert (small.weights != 0).sum() < (whole.weights != 0).sum()
 
 
+M = (1 << 64) - 1
+
+
+def plain_mix(h):
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & M
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB & M
+    return h ^ (h >> 31)
+
+
+def plain_indicators(text, bits=18):
+    """The set of a text's indicators, one word after the other."""
+
+    def kind(c):
+        return "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else c
+
+    words = (text or "").encode().split()
+    flat = []
+    for w in words:
+        shape = b""
+        for c in w:
+            own = b"\xff" if c >= 128 else kind(chr(c)).encode()
+            shape += own if shape[-1:] != own else b""
+        flat.append(xxhash.xxh3_64_intdigest(shape, 1))
+    own, b, out = [xxhash.xxh3_64_intdigest(w) for w in words], 0x9E3779B97F4A7C15, []
+    same = [x == y for x, y in zip(own, own[1:], strict=False)]
+    out += own + flat
+    out += [7 if s else (x * b + y) & M for x, y, s in zip(own, own[1:], same, strict=False)]
+    out += [(x * b + y + 1) & M for x, y in zip(flat, flat[1:], strict=False)]
+    out += [1000 + 8 * same[i] + 4 * same[i + 1] + 2 * same[i + 2] + same[i + 3] for i in range(len(words) - 4)]
+    return sorted({plain_mix(x) >> (64 - bits) for x in out})
+
+
+def plain_fit(rows):
+    """(ratio, weights, bias) from (indicators, -1 or 1), by dictionaries and loops."""
+    size, up, down = 1 << 18, {}, {}
+    for x, y in rows:
+        for i in x:
+            own = up if y > 0 else down
+            own[i] = own.get(i, 0) + 1
+    pos, neg = size + sum(up.values()), size + sum(down.values())
+    ratio = {i: math.log((1 + up.get(i, 0)) / pos) - math.log((1 + down.get(i, 0)) / neg) for i in {*up, *down}}
+    w, bias, alpha = dict.fromkeys(ratio, 0.0), 0.0, [0.0] * len(rows)
+    draw = np.random.default_rng(1)
+    for _ in range(12):
+        for i in draw.permutation(len(rows)).tolist():
+            x, y = rows[i]
+            scale = math.sqrt(max(len(x), 1))
+            margin = sum(w[k] * ratio[k] for k in x) / scale + bias
+            norm = sum((ratio[k] / scale) ** 2 for k in x) + 1
+            new = min(max(alpha[i] - (y * margin - 1) / norm, 0.0), 1.0)
+            step, alpha[i] = (new - alpha[i]) * y, new
+            bias += step
+            for k in x:
+                w[k] += step * ratio[k] / scale
+    return ratio, w, bias
+
+
+def plain_scores(texts, sample):
+    """Scores of texts by a model of sample rows (id, text, label); the score curve is found by plain Newton steps."""
+
+    def margin(x, model):
+        ratio, w, bias = model
+        return sum(ratio[k] * w[k] for k in x if k in w) / math.sqrt(max(len(x), 1)) + bias
+
+    rows = sorted(((i, y, plain_indicators(t)) for i, t, y in sample), key=lambda r: (r[0], r[1]))
+    known = [(x, 2 * y - 1) for _, y, x in rows]
+    rest = [xxhash.xxh3_64_intdigest(str(i)) % 4 == 0 for i, _, _ in rows]
+    trial = plain_fit([k for k, out in zip(known, rest, strict=True) if not out])
+    tried = [(margin(x, trial), y) for (x, y), out in zip(known, rest, strict=True) if out]
+    pos = sum(y > 0 for _, y in tried)
+    high, low = (pos + 1) / (pos + 2), 1 / (len(tried) - pos + 2)
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        g1, g2, h11, h12, h22 = 1e-3 * (a - 1), 0.0, 1e-3, 0.0, 1e-9
+        for m, y in tried:
+            p = 1 / (1 + math.exp(-min(max(a * m + b, -30), 30)))
+            g, h = p - (high if y > 0 else low), max(p * (1 - p), 1e-9)
+            g1, g2, h11, h12, h22 = g1 + g * m, g2 + g, h11 + h * m * m, h12 + h * m, h22 + h
+        det = h11 * h22 - h12 * h12
+        da, db = (g1 * h22 - g2 * h12) / det, (g2 * h11 - g1 * h12) / det
+        a, b = a - da, b - db
+        if max(abs(da), abs(db)) < 1e-6:
+            break
+    if a <= 0:
+        a, b = 1.0, math.log((pos + 1) / (len(tried) - pos + 1))
+    model = plain_fit(known)
+    return [1 / (1 + math.exp(-min(max(a * margin(plain_indicators(t), model) + b, -30), 30))) for t in texts]
+
+
+def test_classifier_equals_a_plain_version(spark):
+    sf = "/root/testdata/sf0.001"
+    docs_, marks = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs_.collect()}
+    sample = [(r.doc_id, texts[r.doc_id], r.quality) for r in marks.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in texts]
+    got = {r.doc_id: r for r in op6_quality_classifier(spark, sf).collect()}
+    want = dict(zip(texts, plain_scores(list(texts.values()), sample), strict=True))
+    assert set(got) == set(want) and len({round(x, 6) for x in want.values()}) > 20
+    for i, x in want.items():
+        assert abs(got[i].score - x) < 1e-6 and got[i].predicted == int(x >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_sample_is_bounded_in_bytes_and_by_ids(spark):
+    rows, labels = labelled(spark, 200)
+    table, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    part, whole = fit(table, marks, max_bytes=4000), fit(table, marks)
+    assert 0 < (part.weights != 0).sum() < (whole.weights != 0).sum()
+    # an id that is repeated counts once
+    again = fit(table.unionByName(table.where("doc_id = 3")).repartition(5), marks.unionByName(marks.where("doc_id = 3")))
+    assert np.array_equal(again.weights, whole.weights) and again.bias == whole.bias
+
+
+def test_classifier_takes_long_texts_and_clashing_names(spark):
+    rows, labels = labelled(spark, 100)
+    long = " ".join(f"w{i % 50}" for i in range(100_000))
+    table = spark.createDataFrame([(i, t, "k", "y", "t") for i, t in [*rows, (500, long), (501, "x" * 1_000_000)]], "doc_id long, text string, k string, y string, t string")
+    marks = spark.createDataFrame([*labels, (500, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_classifier(table, marks).collect()}
+    assert len(got) == 102 and got[500].score > 0.5 and 0 <= got[501].score <= 1 and got[501].t == "t"
+
+
 def test_shapes_are_of_whole_words():
     def shapes(w):
         v = Vocabulary()
