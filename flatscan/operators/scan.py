@@ -150,7 +150,7 @@ def _strict(spark: SparkSession, file: str, p: ScanPlan, options: ReaderOptions
             for s in (r for b in batches for r in b.to_pylist()):
                 group = meta.groups[s["g"]]
                 first = s["start"] - group.offset
-                arrays = [chunk_array(source, meta, group.chunks[i], options).slice(first, s["n"]) for i in ordinals]
+                arrays = [chunk_array(source, meta, group.chunks[i], options, (first, first + s["n"])) for i in ordinals]
                 for a in range(0, s["n"], target):
                     n = min(target, s["n"] - a)
                     place = [pa.array(range(s["start"] + a, s["start"] + a + n), pa.int64()), pa.array([s["g"]] * n, pa.int64())]

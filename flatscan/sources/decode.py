@@ -15,7 +15,7 @@ import pyarrow as pa
 from ..errors import LimitExceededError
 from ..options import ReaderOptions
 from .footer import Chunk, FileMetadata
-from .pages import PLAIN, Page, walk_payloads
+from .pages import PLAIN, Page, needed, walk_payloads
 from .ranges import RangeSource
 
 DTYPES = {"INT32": "<i4", "INT64": "<i8", "FLOAT": "<f4", "DOUBLE": "<f8"}
@@ -97,14 +97,19 @@ def plain(data: bytes, n: int, physical: str, width: int | None, options: Reader
     return out
 
 
-def pages_of(source: RangeSource, meta: FileMetadata, chunk: Chunk, options: ReaderOptions | None = None) -> Iterator[tuple[Page, pa.Array]]:
-    """Each data page of a chunk with its values, nulls in place."""
+def pages_of(
+    source: RangeSource, meta: FileMetadata, chunk: Chunk, options: ReaderOptions | None = None, rows: tuple[int, int] | None = None
+) -> Iterator[tuple[Page, int, pa.Array]]:
+    """Each data page of a chunk, the group's row of its first value, and its values, nulls in place.
+
+    rows: a range of the group's rows; what walk_payloads doesn't read has no values.
+    """
     options = options or ReaderOptions()
     e = meta.columns[chunk.column].element
     physical, width, optional = e.physical, e.raw.get("type_length"), e.repetition == "OPTIONAL"
     kind = ARROW.get(physical, pa.binary())
     dictionary: list | np.ndarray = []
-    for page, h, data, where in walk_payloads(source, meta, chunk, options):
+    for page, h, data, where in walk_payloads(source, meta, chunk, options, rows_of=rows):
 
         def bad(message: str, where=where) -> Exception:  # noqa: ANN001
             return where(message)
@@ -113,7 +118,14 @@ def pages_of(source: RangeSource, meta: FileMetadata, chunk: Chunk, options: Rea
         if page.kind == "dictionary":
             dictionary = plain(data, page.values, physical, width, options, bad)
             continue
+        if data is None:
+            yield page, page.row, pa.array([], kind)
+            continue
         n, at = page.values, 0
+        if rows and len(data) < page.uncompressed and page.encoding == PLAIN and not optional:
+            low, high = needed(page, rows)
+            yield page, page.row + low, pa.array(plain(data, high - low, physical, width, options, bad), kind)
+            continue
         valid = np.ones(n, bool)
         if page.kind == "v2":
             at = body["definition_bytes"]
@@ -139,14 +151,16 @@ def pages_of(source: RangeSource, meta: FileMetadata, chunk: Chunk, options: Rea
                 raise bad("an index lies outside the dictionary")
             found = dictionary[at] if isinstance(dictionary, np.ndarray) else [dictionary[i] for i in at.tolist()]
         if valid.all():
-            yield page, pa.array(found, kind)
+            yield page, page.row, pa.array(found, kind)
         else:
             place = np.cumsum(valid) - 1
             taken = pa.array(found, kind).take(pa.array(np.where(valid, place, 0), mask=~valid)) if count else pa.nulls(n, kind)
-            yield page, taken
+            yield page, page.row, taken
 
 
-def chunk_array(source: RangeSource, meta: FileMetadata, chunk: Chunk, options: ReaderOptions | None = None) -> pa.Array:
-    """All values of a chunk."""
+def chunk_array(source: RangeSource, meta: FileMetadata, chunk: Chunk, options: ReaderOptions | None = None, rows: tuple[int, int] | None = None) -> pa.Array:
+    """All values of a chunk, or those of a range of the group's rows."""
     kind = ARROW.get(meta.columns[chunk.column].element.physical, pa.binary())
-    return pa.concat_arrays([pa.array([], kind), *(a for _, a in pages_of(source, meta, chunk, options))])
+    found = [(first, a) for _, first, a in pages_of(source, meta, chunk, options, rows) if len(a)]
+    whole = pa.concat_arrays([pa.array([], kind), *(a for _, a in found)])
+    return whole if rows is None else whole.slice(rows[0] - found[0][0] if found else 0, rows[1] - rows[0])

@@ -497,6 +497,83 @@ def test_batches_halve_until_they_fit():
         batches(f.getvalue(), [0], options=ReaderOptions(scan_pooled_bytes=7))
 
 
+class Recorded(BytesSource):
+    """Notes the ranges that are read."""
+
+    def __init__(self, data):
+        super().__init__(data)
+        self.ranges = []
+
+    def read(self, offset, size):
+        self.ranges.append((offset, size))
+        return super().read(offset, size)
+
+
+def ranged(data, rows, *columns):
+    source = Recorded(data)
+    f = FlatFile(source)
+    source.ranges.clear()
+    got = [(b.row_offset, [c.values for c in b.columns], b.dispose()) for b in f.scan(ScanOptions(columns or [0], rows=rows))]
+    return [x[:2] for x in got], source.ranges
+
+
+def test_pages_outside_a_range_are_not_read():
+    groups = [[column([0, 1], [2, 3, 4], [5], [6, 7], crc="good")]]
+    data = bytearray(file(groups))
+    whole = [p for p in walked(bytes(data), payloads=False)[0]]
+    for p in (whole[0], whole[3]):
+        data[p.offset + p.header_bytes] ^= 1
+    got, ranges = ranged(bytes(data), RowRange(3, 3))
+    assert got == [(3, [[3, 4]]), (5, [[5]])]
+    # payloads of the two pages inside, whole as they have checksums; headers of all
+    payloads = {(p.offset + p.header_bytes, p.compressed) for p in whole}
+    assert set(ranges) & payloads == {(p.offset + p.header_bytes, p.compressed) for p in whole[1:3]}
+    assert {p.offset for p in whole} <= {a for a, _ in ranges}
+    with pytest.raises(FormatError):
+        ranged(bytes(data), RowRange(1, 3))
+    # an optional column's pages are decoded all the same
+    levels = b"\x02\x00\x00\x00\x04\x01"
+    body = lambda *v: levels + b"".join(x.to_bytes(4, "little") for x in v)
+    optional = bytearray(one(page([1, 2], body=body(1, 2)), page([3, 4], body=body(3, 4)), rows=4, schema=OPTIONAL))
+    assert ranged(bytes(optional), RowRange(2, 2))[0] == [(2, [[3, 4]])]
+    optional[walked(bytes(optional), payloads=False)[0][0].offset + 21] ^= 0xFF
+    with pytest.raises(FormatError):
+        ranged(bytes(optional), RowRange(2, 2))
+
+
+def test_a_part_of_a_plain_page_is_read_alone():
+    data = file([[column(list(range(100)), list(range(100, 150)))]])
+    first, second = walked(data, payloads=False)[0]
+    got, ranges = ranged(data, RowRange(90, 15))
+    assert got == [(90, [[*range(90, 100)]]), (100, [[*range(100, 105)]])]
+    at = [p.offset + p.header_bytes for p in (first, second)]
+    assert [r for r in ranges if r[0] >= at[0] and r[0] not in (first.offset, second.offset)] == [(at[0] + 360, 40), (at[1], 20)]
+    # a checksum covers the whole page
+    checked = file([[column(list(range(100)), crc="good")]])
+    (p,) = walked(checked, payloads=False)[0]
+    assert (p.offset + p.header_bytes, 400) in ranged(checked, RowRange(90, 5))[1]
+    short = file([[(100, [page(list(range(100)), body=bytes(396))])]])
+    with pytest.raises(FormatError):
+        ranged(short, RowRange(5, 5))
+
+
+def test_ranges_of_required_columns_agree_in_all_lanes(spark, tmp_path):
+    t = TABLE.filter(TABLE["int"].is_valid()).cast(pa.schema([f.with_nullable(False) for f in TABLE.schema]))
+    for codec, dictionary, crc in (("none", False, False), ("snappy", True, True), ("none", False, True)):
+        path = f"{tmp_path}/{codec}{crc}.parquet"
+        pq.write_table(t, path, row_group_size=60, compression=codec, use_dictionary=dictionary, write_page_checksum=crc, data_page_size=64, write_batch_size=8)
+        for rows in (RowRange(0, 1), RowRange(17, 100), RowRange(t.num_rows - 1, 1), RowRange(59, 2)):
+            for name in t.column_names:
+                want = t[name].to_pylist()[rows.start : rows.end]
+                lanes = [values(scan(spark, path, [name], rows=rows, identity=True, lane="strict"), name)] if name == "bytes" else []
+                with FlatFile(path) as f:
+                    own = []
+                    for b in f.scan(ScanOptions([name], rows=rows, target_rows=7)):
+                        own += b.columns[0].values
+                        b.dispose()
+                assert all(x == want for x in [own, *lanes]), (codec, crc, rows, name)
+
+
 class Slow(BytesSource):
     """Waits in its reads, once told to, until it is let go."""
 
