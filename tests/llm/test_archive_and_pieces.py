@@ -208,6 +208,18 @@ def test_pieces_equal_a_plain_version():
     assert all(same), [texts[k][:20] for k, x in enumerate(same) if not x]
 
 
+def test_the_query_equals_a_plain_version(spark):
+    sf, v = "/root/testdata/sf0.001", vocabulary(MODEL)
+    got = {r.doc_id: r for r in queries.op10_sentencepiece(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for i, t in rows:
+        want = plain_pieces((t or "").encode(), i, v)
+        assert got[i].n_pieces == len(want) and got[i].lossless
+        assert b"".join(v.parts[k] for k in want)[1:] == (t or "").encode()
+        assert got[i].decoded_sha256 == (None if t is None else hashlib.sha256(t.encode()).hexdigest())
+
+
 def test_long_words_take_time_in_proportion():
     v = vocabulary(MODEL)
     draw = random.Random(12)

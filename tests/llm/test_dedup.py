@@ -341,6 +341,24 @@ def test_differences_count_like_sets():
     assert verify(5, keys, blocks, leaders, texts, 0.8) == verify_sets(5, keys, blocks, leaders, diffs, [len(s) for s in sets], common, len(sets[0]), 0.8)
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    rows = [(5, " ".join(words)), (3, " ".join(words[:58_000])), (4, " ".join(words[:40_000])), (9, "x" * 400_000), (8, "x" * 400_000), (7, "y" * 400_000)]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows_of(rows), SCHEMA)).collect())
+    assert got == [(3, 3, 3, 1), (4, 4, 4, 0), (5, 3, 5, 1), (7, 7, 7, 0), (8, 8, 8, 0), (9, 8, 8, 0)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from flatscan.sources.scratch import shared_folder
+
+    unset = SimpleNamespace(get=lambda key, default=None: default)
+    for master in ("local-cluster[2,1,1024]", "spark://a:7077", "yarn"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared_folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master)))
+
+
 def test_kept_text_digest_matches_contract(spark):
     from flatscan.llm.queries import op1_substring_dedup
 

@@ -1,24 +1,25 @@
-"""The pipeline against a plain version of each stage."""
+"""The pipeline against a plain version of each stage, written apart from the operators."""
+
+import zlib
 
 import numpy as np
 
 import corpus_pipeline
 from flatscan.llm import queries
 from flatscan.llm.decontamination import shingles, weighted_jaccard
-from flatscan.llm.pieces import encode_texts, vocabulary
-from flatscan.llm.quality_classifier import Features, fit
+from flatscan.llm.pieces import vocabulary
+from test_archive_and_pieces import plain_pieces
 from test_dedup import brute_groups, brute_runs
+from test_filters import plain_scores
 
 SF = "/root/testdata/sf0.001"
 
 
 def plain(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    model = fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
-    kept = []
-    for i, t in docs:
-        if model.scores(model.margins(1, *Features().of([t.encode()])))[0] >= 0.3:
-            kept.append((i, t))
+    texts = dict(docs)
+    sample = [(r.doc_id, texts[r.doc_id], r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in texts]
+    kept = [d for d, x in zip(docs, plain_scores([t for _, t in docs], sample), strict=True) if x >= 0.3]
     yield kept
     kept = [(i, t) for i, t, _, _ in brute_runs(kept)]
     yield kept
@@ -33,7 +34,7 @@ def plain(spark):
             clean.append((i, t))
     yield clean
     v = vocabulary(queries.PIECE_MODEL)
-    yield [(i, encode_texts([t.encode()], [i], v, 1.0, 0)[0].tolist()) for i, t in clean]
+    yield [(i, plain_pieces(t.encode(), i, v)) for i, t in clean]
 
 
 def test_stages_equal_a_plain_version(spark):
