@@ -356,7 +356,9 @@ def groups(docs: DataFrame, id: str, text: str, similarity: float) -> DataFrame:
     sent = checkpoint(routes.join(sizes, "leader").groupBy("key", "rep").agg(F.max("bytes").alias("bytes"), to.alias("to")))
     body = docs.where(F.col(text).isNotNull()).select(text_key(text).alias("key"), F.col(id).alias("id"), F.col(text).cast("binary").alias("t"))
     full = body.alias("b").join(sent.alias("s"), (F.col("b.key") == F.col("s.key")) & F.col("b.id").eqNullSafe(F.col("s.rep")))
-    full = full.select("s.key", "s.bytes", F.col("s.to.leader").alias("leaders"), "t", F.explode("s.to").alias("x"))
+    # both ways of verifying read the texts of linked candidates from here, so that all texts are moved once
+    full = checkpoint(full.select("s.key", "s.bytes", "s.to", "t"))
+    full = full.select("key", "bytes", F.col("to.leader").alias("leaders"), "t", F.explode("to").alias("x"))
     full = full.select("key", "bytes", "leaders", "t", "x.leader", "x.blocks")
     found = _verified(full.where("blocks = 1"), similarity)
     if not sizes.where("blocks > 1").isEmpty():
@@ -388,8 +390,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     exactly this text. n_links: how many different texts link to this one. Texts
     of fewer than five words have no shingle: they are grouped with equal texts
     only, as are empty ones. A null text is in a group of its own, with its own
-    id. Null ids are never the least where another exists. Repeated rows give
-    repeated rows. Extra columns are not returned.
+    id. A very long text is compared whole. Null ids are never the least where
+    another exists. Ties at the similarity are links. Repeated rows give repeated
+    rows, and an empty table none. Extra columns are not returned, whatever their
+    names.
     """
     known = checkpoint(groups(docs, id, text, similarity))
     rows = docs.select(F.col(id).alias("id"), text_key(text).alias("key"))
@@ -403,7 +407,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of near-duplicates, that of the least id; rows with a null text all stay."""
+    """docs with one row of each group of near-duplicates, that of the least id; rows with a null text all stay.
+
+    The groups are those of near_duplicates. Of repeated rows, or of texts that tie
+    for the least id, one stays. An empty table stays empty. All columns stay,
+    whatever their names.
+    """
     mark = fresh(docs, "__n_mark")
     place = F.concat(F.hex("key"), F.lit(":"), F.coalesce(F.col("rep").cast("string"), F.lit("")))
     best = checkpoint(groups(docs, id, text, similarity).where("key = best").select(place.alias(mark)))
