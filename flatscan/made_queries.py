@@ -18,6 +18,8 @@ from .errors import FormatError, LimitExceededError, UnsupportedFeatureError
 from .operators.metadata import files, metadata, pages
 from .operators.scan import oversized_values, scan
 from .options import LIMITS, ReaderOptions, RowRange, ScanOptions
+from .sources.annotations import resolve
+from .sources.pages import walk
 from .sources.ranges import BytesSource, StreamSource, read_exactly
 from .sources.scratch import new_folder
 from .streaming.session import Cancelled, FlatFile
@@ -194,19 +196,113 @@ def md_row_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata(spark, path, "file_metadata").join(groups, "file").select("row_count", "group_rows")
 
 
+def md_annotation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and meaning of annotations by cases, from legacy codes, members of the modern union and physical types."""
+    stamp = {"member": 8, "body": {"adjusted": True, "unit": {"member": 2}}}
+    decimal = {"member": 5, "body": {"scale": 2, "precision": 9}}
+    cases = {
+        "nothing": {"type": 1},
+        "string, legacy": {"type": 6, "converted": 0},
+        "string, both": {"type": 6, "converted": 0, "logical": {"member": 1}},
+        "string and enum": {"type": 6, "converted": 0, "logical": {"member": 4}},
+        "string of numbers": {"type": 1, "converted": 0},
+        "date": {"type": 1, "converted": 6, "logical": {"member": 6}},
+        "date of 64 bits": {"type": 2, "logical": {"member": 6}},
+        "timestamp, both": {"type": 2, "converted": 10, "logical": stamp},
+        "timestamp, local": {"type": 2, "converted": 10, "logical": {"member": 8, "body": {"adjusted": False, "unit": {"member": 2}}}},
+        "timestamp, other unit": {"type": 2, "converted": 9, "logical": stamp},
+        "time without unit": {"type": 1, "logical": {"member": 7, "body": {"adjusted": True, "unit": {"member": 9}}}},
+        "time of 32 bits": {"type": 1, "converted": 7},
+        "time of 64 bits in millis": {"type": 2, "converted": 7},
+        "decimal, both": {"type": 1, "converted": 5, "scale": 2, "precision": 9, "logical": decimal},
+        "decimal, other precision": {"type": 1, "converted": 5, "scale": 2, "precision": 8, "logical": decimal},
+        "decimal of ten digits": {"type": 1, "converted": 5, "scale": 0, "precision": 10},
+        "decimal of four bytes": {"type": 7, "type_length": 4, "converted": 5, "scale": 0, "precision": 9},
+        "decimal of ten digits, four bytes": {"type": 7, "type_length": 4, "converted": 5, "scale": 0, "precision": 10},
+        "scale over precision": {"type": 2, "converted": 5, "scale": 3, "precision": 2},
+        "integer of 16": {"type": 1, "logical": {"member": 10, "body": {"width": 16, "signed": False}}},
+        "integer of 9": {"type": 1, "logical": {"member": 10, "body": {"width": 9, "signed": True}}},
+        "integer, other sign": {"type": 1, "converted": 15, "logical": {"member": 10, "body": {"width": 8, "signed": False}}},
+        "uuid": {"type": 7, "type_length": 16, "logical": {"member": 14}},
+        "uuid of 15": {"type": 7, "type_length": 15, "logical": {"member": 14}},
+        "interval": {"type": 7, "type_length": 12, "converted": 21},
+        "unknown member": {"type": 6, "logical": {"member": 99}},
+        "unknown code": {"type": 6, "converted": 99},
+    }
+    rows = [(k, status, m.kind if m else None) for k, (status, m) in ((k, resolve(x)) for k, x in cases.items())]
+    return spark.createDataFrame(rows, "case string, status string, kind string")
+
+
+def pg_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns without nulls by their schema, whose pages have no levels, and a range of rows that begins within a page."""
+    path = written(spark, sf_dir, "nation", REQUIRED, PLAIN)[0]
+    return scan(spark, path, ["k", "n"], rows=RowRange(7, 11), lane="strict").select("k", F.col("n").cast("string").alias("n"))
+
+
+#: Expressions that can't be null, so that their columns are written as required.
+REQUIRED = ["coalesce(n_nationkey, 0) as k", "coalesce(n_name, '') as n"]
+
+
+def sc_range_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of payload that a range of three rows reads: its own of a plain page, a whole page where that has a checksum."""
+    out = []
+    for crc in ("false", "true"):
+        data = _content(spark, written(spark, sf_dir, "nation", REQUIRED[:1], PLAIN | {"parquet.page.write-checksum.enabled": crc})[0])
+        source = _Counted(data)
+        with FlatFile(source) as f:
+            (chunk,) = f.metadata.groups[0].chunks
+            heads = {p.offset for p in walk(source, f.metadata, chunk)}
+            source.ranges.clear()
+            rows = [v for b in f.scan(ScanOptions(["k"], rows=RowRange(20, 3))) for v in b.columns[0].values]
+        out.append((crc == "true", len(rows), sum(n for at, n in source.ranges if at not in heads)))
+    return spark.createDataFrame(out, "checksum boolean, n int, bytes int")
+
+
+def er_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages past a limit or of a form outside the profile."""
+    forms = {"plain": PLAIN, "dictionary": {"compression": "snappy"}, "delta": {**PLAIN, "parquet.writer.version": "PARQUET_2_0"}, "small": {**PLAIN, **SMALL, "parquet.page.size.row.check.min": "5", "parquet.page.row.count.limit": "5"}}
+    data = {k: _content(spark, written(spark, sf_dir, "nation", ["n_nationkey as k", "n_name as n", "n_regionkey > 2 as b", "repeat(cast(n_regionkey as string), 40) as r"], x)[0]) for k, x in forms.items()}
+
+    def read(form: str, columns: list[str], **limits: int) -> Callable[[], object]:
+        return lambda: _rows(FlatFile(data[form], ReaderOptions(**limits)), columns)
+
+    cases = {
+        "plain": read("plain", ["k", "n", "b"]),
+        "dictionary": read("dictionary", ["k", "r"]),
+        "delta numbers": read("delta", ["k"]),
+        "delta strings": read("delta", ["n"]),
+        "run-length booleans": read("delta", ["b"]),
+        "small pages": read("small", ["k", "n", "b"]),
+        "pages of a chunk": read("small", ["k"], pages_per_column_chunk=1),
+        "values of a page": read("plain", ["k"], values_per_page=24),
+        "header bytes": read("plain", ["k"], page_header_bytes=3),
+        "compressed bytes": read("plain", ["k"], compressed_page_bytes=99),
+        "uncompressed bytes": read("plain", ["k"], uncompressed_page_bytes=99),
+        "dictionary entries": read("dictionary", ["r"], dictionary_entries=4),
+        "dictionary bytes": read("dictionary", ["r"], dictionary_bytes=99),
+        "value bytes": read("plain", ["n"], binary_value_bytes=5),
+        "batch bytes": read("plain", ["n"], binary_batch_bytes=5),
+        "budget": read("plain", ["k"], scan_pooled_bytes=4),
+        "encoding before limit": read("delta", ["k"], values_per_page=1),
+    }
+    return spark.createDataFrame([(k, _outcome(f)) for k, f in cases.items()], "case string, outcome string")
+
+
 def _content(spark: SparkSession, path: str) -> bytes:
     """A small file's bytes."""
     return bytes(spark.read.format("binaryFile").load(path).select("content").head()[0])
 
 
 class _Counted:
-    """A source of one's own: bytes with a count of reads."""
+    """A source of one's own: bytes, with what is read of them."""
 
     def __init__(self, data: bytes, short: int = 0):
         self.data, self.length, self.reads, self.short = data, len(data), 0, short
+        self.ranges: list[tuple[int, int]] = []
 
     def read(self, offset: int, size: int) -> bytes:
         self.reads += 1
+        self.ranges.append((offset, size))
         return self.data[offset : offset + size - (self.short if self.reads > 3 else 0)]
 
     def close(self) -> None:
@@ -516,6 +612,27 @@ def oracle_sql(sf_dir: str) -> dict[str, str]:
                 ("raw", "BYTE_ARRAY", None, None, None, "NONE", None, None, None, None, None),
             ],
         ),
+        "md_annotation_rules": _values(
+            '"case", status, kind',
+            [
+                ("nothing", "NONE", None), ("string, legacy", "LEGACY_ONLY", "STRING"), ("string, both", "CONSISTENT", "STRING"), ("string and enum", "CONFLICT", None), ("string of numbers", "INVALID", None),
+                ("date", "CONSISTENT", "DATE"), ("date of 64 bits", "INVALID", None), ("timestamp, both", "CONSISTENT", "TIMESTAMP"), ("timestamp, local", "CONFLICT", None), ("timestamp, other unit", "CONFLICT", None),
+                ("time without unit", "MODERN_ONLY", None), ("time of 32 bits", "LEGACY_ONLY", "TIME"), ("time of 64 bits in millis", "INVALID", None), ("decimal, both", "CONSISTENT", "DECIMAL"),
+                ("decimal, other precision", "INVALID", None), ("decimal of ten digits", "INVALID", None), ("decimal of four bytes", "LEGACY_ONLY", "DECIMAL"), ("decimal of ten digits, four bytes", "INVALID", None),
+                ("scale over precision", "INVALID", None), ("integer of 16", "MODERN_ONLY", "INTEGER"), ("integer of 9", "INVALID", None), ("integer, other sign", "CONFLICT", None), ("uuid", "MODERN_ONLY", "UUID"),
+                ("uuid of 15", "INVALID", None), ("interval", "LEGACY_ONLY", "INTERVAL"), ("unknown member", "MODERN_ONLY", None), ("unknown code", "LEGACY_ONLY", None),
+            ],
+        ),
+        "pg_required": f"select n_nationkey as k, n_name as n from {numbered(sf_dir, 'nation')} where row between 7 and 17",
+        "sc_range_bytes": _values("checksum, n, bytes", [(False, 3, 12), (True, 3, 100)]),
+        "er_pages": _values(
+            '"case", outcome',
+            [
+                ("plain", "fine"), ("dictionary", "fine"), ("small pages", "fine"), ("delta numbers", "unsupported"), ("delta strings", "unsupported"), ("run-length booleans", "unsupported"),
+                *((k, "limit") for k in ("pages of a chunk", "values of a page", "header bytes", "compressed bytes", "uncompressed bytes", "dictionary entries", "dictionary bytes", "value bytes", "batch bytes", "budget")),
+                ("encoding before limit", "unsupported"),
+            ],
+        ),
         "md_stats_bytes": " union all ".join(
             f"select '{c}' as name, true as present, {form(f'min({c})')} as least, {form(f'max({c})')} as greatest, count(*) - count({c}) as null_count from customer"
             for c, form in (("c_name", lambda x: f"hex({x})"), ("c_mktsegment", lambda x: f"hex({x})"), ("c_custkey", lambda x: _little(x, 8)), ("c_nationkey", lambda x: _little(x, 4)))
