@@ -60,11 +60,20 @@ class Windows:
         """
         return mix(sliding_min(ngrams(self.hashes, length), self.window - length + 1)[self.at])
 
-    def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each window, from hashes of its words that don't depend on each other: equal in both means equal words."""
-        other, _ = hash_texts(self.texts, 1)
-        first, second = (ngrams(h, self.window, b)[self.at] for h, b in zip((self.hashes, other), BASES, strict=True))
-        return first, second
+    def first(self) -> np.ndarray:
+        """A hash of each window."""
+        return ngrams(self.hashes, self.window)[self.at]
+
+    def second(self, yes: np.ndarray) -> np.ndarray:
+        """Another hash of those windows, from word hashes that don't depend on the first ones: equal in both means equal words.
+
+        Only texts that have one of them are hashed again.
+        """
+        has = np.zeros(len(self.texts), bool)
+        has[self.owner[yes]] = True
+        other = np.zeros(len(self.hashes), np.uint64)
+        other[np.repeat(has, self.counts)] = hash_texts([self.texts[i] for i in np.flatnonzero(has)], 1)[0]
+        return ngrams(other, self.window, BASES[1])[self.at[yes]]
 
 
 def levels(window: int, least: int = LEAST) -> list[int]:
@@ -156,15 +165,19 @@ def removed_windows(w: Windows, got: list[Body]) -> np.ndarray:
     key, second, first = (_unpack([x[i] for x in got], t) for i, t in ((0, np.uint64), (1, np.uint64), (2, np.int64)))
     order = np.argsort(key, kind="stable")
     key, second, first = key[order], second[order], first[order]
-    own, own_second = w.whole()
+    own = w.first()
+    met = _has(key, own)
+    own, own_second, doc = own[met], w.second(met), w.doc[met]
     at = np.searchsorted(key, own)
     out = np.zeros(len(own), bool)
     # as many steps as the longest run of one first hash; that is one, but for collisions
     for _ in range(int(np.unique(key, return_counts=True)[1].max())):
         k = np.minimum(at, len(key) - 1)
-        out |= (key[k] == own) & (second[k] == own_second) & (first[k] < w.doc)
+        out |= (key[k] == own) & (second[k] == own_second) & (first[k] < doc)
         at += 1
-    return out
+    gone = np.zeros(len(w.at), bool)
+    gone[met] = out
+    return gone
 
 
 def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -211,8 +224,7 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     def wholes(ids: np.ndarray, texts: list[bytes | None], got: list[Body] = ()) -> list[Message]:
         w = Windows(ids, texts, window)
         yes = survivors(w, parts_first[-1] if parts_first else None, got)
-        first, second = (x[yes] for x in w.whole())
-        doc = w.doc[yes]
+        first, second, doc = w.first()[yes], w.second(yes), w.doc[yes]
         order, starts = _groups(first, second, doc)
         if not len(order):
             return []
