@@ -5,10 +5,11 @@ Only windows with enough item shingles to reach the similarity are fingerprinted
 (an exact bound, so nothing is lost). A fingerprint is looked up in a multi-index:
 its 256 bits are cut into 16 blocks, and what differs in two bits or fewer of some
 block is found. Two fingerprints within 47 bits must agree that far in some block,
-so all of those are found. At the similarity 0.8 they differ in 39 bits on average;
-of pairs further apart, up to the radius, those that differ more in all 16 blocks
-are missed, 2 in a million. What is found is verified by weighted Jaccard
-similarity of shingle counts.
+so all of those are found; at the similarity 0.8 they differ in 39 bits on average.
+Pairs beyond the radius, or that differ more in all 16 blocks, are not lost: items
+that no fingerprint leads to are found by their rarest shingles, since a window that
+reaches the similarity holds one of those. Each item found either way is compared
+with all windows of the text by weighted Jaccard similarity of shingle counts.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .words import chunks, hash_words, mix, ngrams
 
 SHINGLE = 5
-#: 64-bit words of a window's fingerprint, its blocks, the bits that may differ in one, and in all.
-WORDS, BLOCKS, FLIPS, RADIUS = 4, 16, 2, 66
+#: 64-bit words of a window's fingerprint, its blocks, and the bits that may differ in one.
+WORDS, BLOCKS, FLIPS = 4, 16, 2
 #: A-Z become a-z; other ASCII characters than letters and digits become spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Most text of benchmark items that one pass carries to the executors.
@@ -38,9 +39,13 @@ ITEM_BYTES = 16 << 20
 
 
 def shingles(text: bytes) -> np.ndarray:
-    """Hashes of all runs of five words: lower-cased runs of ASCII letters, digits and characters beyond ASCII."""
+    """Hashes of all runs of five words: lower-cased runs of ASCII letters, digits and characters beyond ASCII.
+
+    Each character is lower-cased to one, wherever it stands.
+    """
     if not text.isascii():
-        text = text.decode("utf-8", "replace").lower().encode()
+        # str.lower() makes two characters of the first, and looks at what stands around the second
+        text = text.decode("utf-8", "replace").replace("\u0130", "i").replace("\u03a3", "\u03c3").lower().encode()
     return ngrams(hash_words(text.translate(FOLD).split()), SHINGLE)
 
 
@@ -66,6 +71,13 @@ def simhash(windows: np.ndarray, words: int = 1) -> np.ndarray:
     return out[:, 0] if words == 1 else out
 
 
+def radius_for(similarity: float) -> int:
+    """Bits in which all but a few fingerprints of a pair at the similarity differ at most: 66 at 0.8."""
+    bits = 64 * WORDS
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return round(bits * p + 4.75 * math.sqrt(bits * p * (1 - p)))
+
+
 class MultiIndex:
     """Fingerprints within ``radius`` bits of a query, found by blocks of 8 or 16 bits.
 
@@ -100,10 +112,53 @@ class MultiIndex:
             found += [order[x:y] for x, y in zip(a[a < b], b[a < b], strict=True)]
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
-    def near(self, query: int | np.ndarray) -> np.ndarray:
+    def near(self, query: int | np.ndarray, radius: int | None = None) -> np.ndarray:
         query = np.atleast_1d(np.asarray(query, np.uint64))
         at = self.met(query)
-        return at[np.bitwise_count(self.prints[at] ^ query).sum(axis=1, dtype=np.int64) <= self.radius]
+        return at[np.bitwise_count(self.prints[at] ^ query).sum(axis=1, dtype=np.int64) <= (self.radius if radius is None else radius)]
+
+
+class Rarest:
+    """Items of one length, found by the ``kept`` of their shingles that are rarest among all items.
+
+    Of n shingles a window that shares ``least`` lacks n - least at most, and so holds
+    one of any n - least + 1: with that many kept no such window is lost.
+    """
+
+    def __init__(self, own: np.ndarray, kept: int):
+        values, at, count = np.unique(own, return_inverse=True, return_counts=True)
+        at = at.reshape(own.shape)
+        at = np.take_along_axis(at, np.argsort(count[at], axis=1, kind="stable")[:, :kept], axis=1)
+        order = np.argsort(at, axis=None, kind="stable")
+        self.values, self.items = values[at.ravel()[order]], order // at.shape[1]
+
+    def met(self, window: np.ndarray) -> np.ndarray:
+        """Numbers of the items of which one such shingle is among the different ones given."""
+        a, b = np.searchsorted(self.values, window), np.searchsorted(self.values, window, side="right")
+        found = [self.items[x:y] for x, y in zip(a[a < b], b[a < b], strict=True)]
+        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+
+class Spots:
+    """Where a text has which shingle, at some places."""
+
+    def __init__(self, s: np.ndarray, places: np.ndarray):
+        order = np.argsort(s[places], kind="stable")
+        self.values, self.at = s[places][order], places[order]
+
+    def shared(self, own: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """How many shingles, counted as often as both have them, an item and each window of its length share."""
+        n = len(own)
+        own, most = np.unique(own, return_counts=True)
+        a = np.searchsorted(self.values, own)
+        m = np.searchsorted(self.values, own, side="right") - a
+        number = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        at, most = np.repeat(a, m) + number, np.repeat(most, m)
+        place = self.at[at]
+        # an occurrence counts in windows that hold it and, before it, fewer of its kind than the item has
+        before = np.where(number >= most, self.at[np.maximum(at - most, 0)], -1)
+        first = np.sort(np.maximum(before, place - n) + 1)
+        return np.searchsorted(first, starts, side="right") - np.searchsorted(np.sort(place), starts)
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -123,13 +178,19 @@ class Items:
     def __post_init__(self) -> None:
         self.all = np.unique(np.concatenate(self.sets)) if self.sets else np.empty(0, np.uint64)
         self.lengths = sorted({len(x) for x in self.sets})
-        self.by_length, self.index, self.own = {}, {}, {}
+        self.by_length, self.index, self.own, self._rarest = {}, {}, {}, {}
         for n in self.lengths:
             self.by_length[n] = [i for i, x in enumerate(self.sets) if len(x) == n]
             own = np.stack([self.sets[i] for i in self.by_length[n]])
-            self.index[n] = MultiIndex(simhash(own, WORDS), RADIUS, BLOCKS, FLIPS)
+            self.index[n] = MultiIndex(simhash(own, WORDS), blocks=BLOCKS, flips=FLIPS)
             self.own[n] = np.unique(own)
 
+    def rarest(self, n: int, kept: int) -> Rarest:
+        """Made when a window of that length is first looked up."""
+        if (n, kept) not in self._rarest:
+            self._rarest[n, kept] = Rarest(np.stack([self.sets[i] for i in self.by_length[n]]), kept)
+        return self._rarest[n, kept]
+
 
 def matches(s: np.ndarray, items: Items, similarity: float) -> list[tuple[int, float, int]]:
     """(item, similarity, first word) of the best window of each item that reaches the similarity."""
@@ -140,6 +201,7 @@ def matches(s: np.ndarray, items: Items, similarity: float) -> list[tuple[int, f
     if not hit.any():
         return []
     places = np.flatnonzero(hit)
+    spots = None
     best: dict[int, tuple[float, int]] = {}
     # a window of m shingles and an item of n shingles share (m + n) j / (1 + j) at least;
     # m is n, or the whole text where that is shorter
@@ -162,15 +224,24 @@ def matches(s: np.ndarray, items: Items, similarity: float) -> list[tuple[int, f
         starts = np.flatnonzero(below[n:] - below[:-n] >= least)
         if not len(starts):
             continue
+        found, radius = set(), radius_for(similarity)
         # as many windows at a time as keep the copies small
         for lot in np.array_split(starts, max(1, len(starts) * n >> 18)):
-            windows = s[lot[:, None] + np.arange(n)]
-            for start, own, x in zip(lot.tolist(), windows, simhash(windows, WORDS), strict=True):
-                for k in items.index[n].near(x):
-                    i = items.by_length[n][k]
-                    j = weighted_jaccard(own, items.sets[i])
-                    if j >= similarity and (j, -start) > (best.get(i, (0, 0))[0], -best.get(i, (0, 0))[1]):
-                        best[i] = (j, start)
+            for x in simhash(s[lot[:, None] + np.arange(n)], WORDS):
+                found.update(items.index[n].near(x, radius).tolist())
+        # and the items that no fingerprint led to, by what stands in these windows
+        edges = np.zeros(len(s) + 1, np.int64)
+        edges[starts] += 1
+        edges[starts + n] -= 1
+        found.update(items.rarest(n, n - least + 1).met(np.unique(s[np.cumsum(edges)[:-1] > 0])).tolist())
+        spots = spots or Spots(s, places)
+        for k in found:
+            i = items.by_length[n][k]
+            low = spots.shared(items.sets[i], starts)
+            at = int(low.argmax())
+            j = int(low[at]) / (2 * n - int(low[at]))
+            if j >= similarity:
+                best[i] = (j, int(starts[at]))
     return sorted((i, j, start) for i, (j, start) in best.items())
 
 
@@ -220,7 +291,8 @@ def decontamination(
     whatever its case, punctuation and line breaks. An item counts as held where
     a window of its length, or the whole of a shorter text, reaches the similarity;
     the row gives the best such window, the first of equal ones. Items of fewer than five words, and null or
-    empty texts and items, match nothing. Repeated rows of docs give repeated
+    empty texts and items, match nothing. Of other pairs none that reaches the
+    similarity is left out, whatever it is above 0. Repeated rows of docs give repeated
     rows; items of equal text each match. A very long text is searched whole. An
     empty table of texts or of items has no rows. Extra columns are not returned,
     whatever their names; where ``id`` and ``item_id`` are one name, the second

@@ -12,14 +12,18 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
 import corpus_pipeline
+from compare import differences
 from flatscan.llm import queries, sql
 from flatscan.llm.decontamination import Items, MultiIndex, decontaminate, decontamination, matches, shingles, simhash, weighted_jaccard
 from flatscan.llm.pieces import decode, decode_ids, encode, encode_texts, vocabulary
 from flatscan.llm.warc import base32_sha1, read_archive, write_archive
+from flatscan.llm.words import mix
 
 MODEL = queries.PIECE_MODEL
 PAGES = "page_id long, url string, html string, sha string, shard int"
@@ -344,6 +348,72 @@ def test_a_text_shorter_than_an_item_is_compared_whole(spark):
     assert [r.doc_id for r in decontaminate(table, bench).collect()] == [3]
 
 
+@pytest.mark.parametrize("k", [533562, 554747, 673187, 700609])
+def test_pairs_that_the_fingerprints_miss_are_found(k):
+    s = mix(np.arange(k * 50, k * 50 + 50, dtype=np.uint64))
+    item, window = s[:45], np.concatenate([s[45:], s[5:45]])  # 40 of 50 shingles: exactly 0.8
+    items = Items(["q"], [item])
+    own = MultiIndex(simhash(np.stack([item] * 600), 4), 66, 16, 2)
+    assert not len(own.near(simhash(window[None], 4)[0]))
+    assert matches(window, items, 0.8) == [(0, 0.8, 0)]
+    other = mix(np.arange(3, dtype=np.uint64))
+    assert matches(np.concatenate([other, window, other]), items, 0.8) == [(0, 0.8, 3)]
+
+
+@pytest.mark.parametrize("similarity", [0.1, 0.3, 0.5, 0.7, 0.8, 1.0])
+def test_every_similarity_finds_the_best_window_of_each_item(similarity):
+    draw = random.Random(13)
+    few, many = list(range(6)), list(range(6, 90))
+    sets = [draw.choices(few if k % 3 == 0 else many, k=draw.randint(1, 40)) for k in range(30)]
+    sets += [sets[1], sets[2][::-1], [3] * 20, [3] * 20]
+    shared = [mix(np.array(x, np.uint64)) for x in sets]
+    items, n = Items(list(range(len(sets))), shared), 0
+    for _ in range(50):
+        text = draw.choices(draw.choice((few, many)), k=draw.randint(0, 60))
+        for _ in range(draw.randint(0, 3)):
+            kept = draw.choice((0.6, 0.9, 1.0))
+            own = [x if draw.random() < kept else draw.choice(many) for x in draw.choice(sets)]
+            at = draw.randint(0, len(text))
+            text[at:at] = own
+        s = mix(np.array(text, np.uint64))
+        want = []
+        for i, x in enumerate(shared):
+            windows = [s[k : k + len(x)] for k in range(max(1, len(s) - len(x) + 1))] if len(s) else []
+            j, k = max(((weighted_jaccard(w, x), -k) for k, w in enumerate(windows)), default=(0, 0))
+            if j >= similarity:
+                want.append((i, j, -k))
+        assert matches(s, items, similarity) == want
+        n += len(want)
+    assert n > 20
+
+
+def test_lower_similarities_lose_no_row(spark):
+    draw = random.Random(14)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    items = [(i, " ".join(word() for _ in range(44))) for i in range(40)]
+    texts = []
+    for _, t in items:
+        own = t.split()
+        own[:13] = [word() for _ in range(13)]  # 27 of 53 shingles: just over 0.5
+        texts.append(" ".join([word(), *own, word()]))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in decontamination(table, bench, similarity=0.5).collect())
+    assert got == [(i, i, 27 / 53, 1) for i in range(40)]
+    assert decontaminate(table, bench, similarity=0.5).count() == 0
+
+
+def test_case_beyond_ascii_is_that_of_the_sql(spark, tmp_path):
+    rest = " ".join(f"w{i}" for i in range(12))
+    items = [f"istanbul {rest}", f"ο δροσοσ {rest}", f"ÉCOLE straße {rest}", f"i\u0307zmir {rest}"]
+    texts = [f"İSTANBUL {rest}", f"Ο ΔΡΟΣΟΣ {rest}", f"école STRAßE {rest}", f"I\u0307ZMIR {rest}", f"ο δροσος {rest}", f"\u212aİ ΣΑΣ {rest}"]
+    for name, id, rows in (("documents", "doc_id", texts), ("benchmark", "item_id", items)):
+        pq.write_table(pa.table({id: pa.array(range(len(rows)), pa.int64()), "text": rows}), tmp_path / f"{name}.parquet")
+    out = queries.queries()["op3_benchmark_decontamination"](spark, str(tmp_path))
+    assert differences(out, sql.oracle_sql()["op3_benchmark_decontamination"], str(tmp_path)) == []
+    assert {(r.doc_id, r.item_id) for r in out.collect() if r.similarity == 1} == {(i, i) for i in range(4)}
+
+
 def test_every_operator_has_a_query():
     names = sorted(queries.queries(), key=lambda k: int(k[2:].split("_")[0]))
     assert [int(k[2:].split("_")[0]) for k in names] == list(range(1, 11))
