@@ -1,4 +1,4 @@
-"""Projected scans of one file: chosen columns over chosen row groups and rows.
+"""Projected scans: chosen columns over chosen row groups and rows of one file, or over all rows of many.
 
 The native lane is Spark's own reader; column pruning, codecs and decoding are
 Spark's, and rows are kept by their index, so it reads every group. The row-group
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..errors import UnsupportedFeatureError
-from ..functions.physical import PLAIN_TYPES, payload_bytes, physical_value, read_type
+from ..functions.physical import PLAIN_TYPES, payload_bytes, physical_value, read_type, seen_by_spark
 from ..options import ReaderOptions, RowRange, ScanOptions
 from ..plans.preflight import ScanPlan, plan
 from ..sources.decode import chunk_array
@@ -73,18 +73,47 @@ def scan(
     return out if identity else out.drop("row_index", "row_group")
 
 
-#: So many intervals of rows are tested one by one; more are looked up.
-FEW = 8
-PLACES = "bucket bigint, low bigint, high bigint, row_group bigint"
-
+def scan_files(spark: SparkSession, path: str, columns: list[str | int], identity: bool = False, options: ReaderOptions | None = None) -> DataFrame:
+    """The chosen columns of all files at a path (a file, a folder or a glob), as physical values, by the native lane.
 
-def _native(spark: SparkSession, file: str, meta: FileMetadata, p: ScanPlan, identity: bool) -> DataFrame:
+    identity adds file and row_index, which counts from 0 in each file. The footers
+    are checked on the driver, one after another, before anything is read; files whose
+    columns have one form are read together, so that the plan doesn't grow with them.
+    """
+    forms: dict[tuple, tuple[list[str], ScanPlan]] = {}
+    kinds: dict[tuple, str] = {}
+    for file in files(spark, path):
+        _, meta, p = describe(spark, file, ScanOptions(columns), options)
+        _by_name(meta, p)
+        forms.setdefault(tuple((c.name, c.element.physical, seen_by_spark(c.element)) for c in p.columns), ([], p))[0].append(file)
+        kinds.setdefault(tuple((c.name, c.element.physical) for c in p.columns), file)
+    if len(kinds) > 1:
+        raise ValueError(f"{' and '.join(list(kinds.values())[:2])} differ in the columns' names or physical types")
+    place = {"file": "file_path", "row_index": "row_index"} if identity else {}
+    return reduce(DataFrame.union, [_read(spark, paths, p, place) for paths, p in forms.values()])
+
+
+def _by_name(meta: FileMetadata, p: ScanPlan) -> None:
     names = [c.name for c in meta.columns if c.element.parent == 0]
     if any(names.count(c.name) > 1 for c in p.columns):
         raise UnsupportedFeatureError("a column's name repeats; the row-group lane reads it by ordinal")
+
+
+def _read(spark: SparkSession, paths: list[str], p: ScanPlan, place: dict[str, str]) -> DataFrame:
+    """Physical values of files of one form, with fields of where their rows are, by their new names."""
     schema = StructType([StructField(c.name, read_type(c.element)) for c in p.columns])
     values = [physical_value(F.col(f"`{c.name}`"), c.element).alias(n) for c, n in zip(p.columns, p.names, strict=True)]
-    df = spark.read.schema(schema).parquet(file).select(*values, F.col("_metadata.row_index").alias("row_index"))
+    return spark.read.schema(schema).parquet(*paths).select(*values, *(F.col(f"_metadata.{x}").alias(n) for n, x in place.items()))
+
+
+#: So many intervals of rows are tested one by one; more are looked up.
+FEW = 8
+PLACES = "bucket bigint, low bigint, high bigint, row_group bigint"
+
+
+def _native(spark: SparkSession, file: str, meta: FileMetadata, p: ScanPlan, identity: bool) -> DataFrame:
+    _by_name(meta, p)
+    df = _read(spark, [file], p, {"row_index": "row_index"})
     runs: list[list[int]] = []
     for s in p.segments:  # neighbouring segments are one interval
         if runs and runs[-1][1] == s.start:

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from build import I32, STRUCT, column, file, leaf, page, root
 from flatscan.errors import FormatError, LimitExceededError, UnsupportedFeatureError
 from flatscan.operators.batches import batch_identity, capped_rows, offsets, validity
-from flatscan import queries
+from flatscan import made_queries, queries
 from flatscan.operators.checksum import SEED, group_checksums, mix, mix_long, scan_checksum, stream_digest
 from flatscan.operators.metadata import TABLES, metadata, pages, summary
-from flatscan.operators.scan import oversized_values, scan
+from flatscan.operators.scan import oversized_values, scan, scan_files
 from flatscan.options import ReaderOptions, RowRange, ScanOptions
 from flatscan.plans.preflight import Segment, plan
 from flatscan.sources.decode import hybrid
@@ -651,3 +651,35 @@ def test_checksums_of_row_groups(spark, tmp_path):
 def test_the_checksum_query_folds_a_whole_table(spark):
     got = queries.bn_checksum(spark, "/root/testdata/sf0.001").collect()
     assert sum(r.row_count for r in got) == pq.read_metadata("/root/testdata/sf0.001/lineitem.parquet").num_rows
+
+
+def test_scan_of_many_files(spark, tmp_path):
+    at = pa.array([0, 1], pa.timestamp("ms"))
+    for i, kind in enumerate(("ms", "us", "ms")):  # two forms of one column
+        pq.write_table(pa.table({"k": pa.array([2 * i, 2 * i + 1], pa.int64()), "at": at.cast(pa.timestamp(kind)), "file": ["x", "y"]}), f"{tmp_path}/{i} {kind}.parquet")
+    (tmp_path / "_SUCCESS").write_text("")
+    got = scan_files(spark, str(tmp_path), ["at", "k"], identity=True).collect()
+    assert sorted((r.k, r.at, r.row_index) for r in got) == [(0, 0, 0), (1, 1, 1), (2, 0, 0), (3, 1000, 1), (4, 0, 0), (5, 1, 1)]
+    assert len({r.file for r in got}) == 3
+    assert sorted(r.file for r in scan_files(spark, str(tmp_path), ["file"]).collect()) == [b"x"] * 3 + [b"y"] * 3
+    pq.write_table(pa.table({"k": pa.array([1], pa.int32())}), f"{tmp_path}/3.parquet")
+    with pytest.raises(ValueError):
+        scan_files(spark, str(tmp_path), ["k"])
+    with pytest.raises(ValueError):
+        scan_files(spark, str(tmp_path), ["at"])
+
+
+def in_two(folder, table, tables="/root/testdata/sf0.001"):
+    """The table as a folder of two files in one's own folder, each of two row groups."""
+    rows = pq.read_table(f"{tables}/{table}.parquet")
+    half = len(rows) // 2
+    (folder / f"{table}.parquet").mkdir()
+    for i in (0, 1):
+        pq.write_table(rows.slice(i * half, half if i == 0 else None), f"{folder}/{table}.parquet/{i}.parquet", row_group_size=half // 2 + 1)
+    return rows, half
+
+
+def test_the_limit_query_reads_all_files_of_a_table(spark, tmp_path):
+    rows, _ = in_two(tmp_path, "documents")
+    want = [r["doc_id"] for r in rows.select(["doc_id", "text"]).to_pylist() if len((r["text"] or "").encode()) > 3000]
+    assert sorted(r.doc_id for r in made_queries.lm_binary_value(spark, str(tmp_path)).collect()) == sorted(want) and want
