@@ -1,6 +1,7 @@
 """Plans, lanes, pages, batches and the session on generated files."""
 
 import decimal
+import hashlib
 import io
 import threading
 
@@ -683,3 +684,9 @@ def test_the_limit_query_reads_all_files_of_a_table(spark, tmp_path):
     rows, _ = in_two(tmp_path, "documents")
     want = [r["doc_id"] for r in rows.select(["doc_id", "text"]).to_pylist() if len((r["text"] or "").encode()) > 3000]
     assert sorted(r.doc_id for r in made_queries.lm_binary_value(spark, str(tmp_path)).collect()) == sorted(want) and want
+
+
+def test_the_text_query_numbers_the_rows_of_each_file(spark, tmp_path):
+    rows, half = in_two(tmp_path, "documents")
+    got = sorted((r.row_index, r.text_md5) for r in queries.pg_binary(spark, str(tmp_path)).collect())
+    assert got == sorted((i % half if i < 2 * half else i - half, hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(rows["text"].to_pylist()))
