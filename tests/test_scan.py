@@ -3,6 +3,7 @@
 import decimal
 import hashlib
 import io
+import struct
 import threading
 
 import numpy as np
@@ -690,3 +691,39 @@ def test_the_text_query_numbers_the_rows_of_each_file(spark, tmp_path):
     rows, half = in_two(tmp_path, "documents")
     got = sorted((r.row_index, r.text_md5) for r in queries.pg_binary(spark, str(tmp_path)).collect())
     assert got == sorted((i % half if i < 2 * half else i - half, hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(rows["text"].to_pylist()))
+
+
+def test_the_checksum_query_goes_on_through_row_groups(spark, tmp_path):
+    rows, _ = in_groups(tmp_path, "lineitem", 1000)
+    values = [SEED, SEED]
+    for k, f in zip(rows["l_orderkey"].to_pylist(), rows["l_returnflag"].to_pylist(), strict=True):
+        values = [mix_long(values[0], k), mix(mix(values[1], ord(f)), 0x100)]
+    want = SEED
+    for v in values:
+        want = mix_long(want, mix_long(v, SEED))
+    assert [tuple(r) for r in queries.bn_checksum(spark, str(tmp_path)).collect()] == [(0, len(rows), want - (1 << 64 if want >> 63 else 0))]
+
+
+def test_checksums_of_all_types(spark):
+    kinds = {"b": "BOOLEAN", "i": "INT32", "l": "INT64", "f": "FLOAT", "d": "DOUBLE", "s": "BYTE_ARRAY"}
+    data = [(True, -5, -(1 << 40) - 3, -1.5, -0.0, b""), (None,) * 6, (False, 7, 9, 2.25, 1e300, b"\xff\0x"), (True, None, -1, None, 3.5, None)]
+    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(data)], "row_index long, b boolean, i int, l long, f float, d double, s binary")
+    bits = {"f": lambda x: struct.unpack("<i", struct.pack("<f", x)), "d": lambda x: struct.unpack("<2i", struct.pack("<d", x)), "l": lambda x: (x, x >> 32), "s": lambda x: (*x, 0x100)}
+    want = SEED
+    for i, n in enumerate(kinds):
+        value, null = SEED, SEED
+        for k, r in enumerate(data):
+            if r[i] is None:
+                null = mix_long(null, k)
+            else:
+                for x in bits.get(n, lambda x: (int(x),))(r[i]):
+                    value = mix(value, x)
+        want = mix_long(want, mix_long(value, null))
+    assert scan_checksum(rows.repartition(3), kinds).head().checksum == want - (1 << 64 if want >> 63 else 0)
+
+
+def in_groups(folder, table, n, tables="/root/testdata/sf0.001"):
+    """The table as one file in one's own folder, of row groups of n rows."""
+    rows = pq.read_table(f"{tables}/{table}.parquet")
+    pq.write_table(rows, f"{folder}/{table}.parquet", row_group_size=n)
+    return rows, -(-len(rows) // n)
