@@ -727,3 +727,11 @@ def in_groups(folder, table, n, tables="/root/testdata/sf0.001"):
     rows = pq.read_table(f"{tables}/{table}.parquet")
     pq.write_table(rows, f"{folder}/{table}.parquet", row_group_size=n)
     return rows, -(-len(rows) // n)
+
+
+def test_the_query_of_readable_columns_has_a_row_a_chunk(spark, tmp_path):
+    _, n = in_groups(tmp_path, "lineitem", 1000)
+    in_two(tmp_path, "embeddings")
+    names = pq.read_schema(f"{tmp_path}/lineitem.parquet").names
+    want = [("vec_id", True), ("embedding, list, element", False), ("label", True)] * 4 + [(x, True) for x in names] * n
+    assert sorted(tuple(r) for r in queries.md_columns_readable(spark, str(tmp_path)).collect()) == sorted(want) and n > 1
