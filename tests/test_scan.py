@@ -735,3 +735,9 @@ def test_the_query_of_readable_columns_has_a_row_a_chunk(spark, tmp_path):
     names = pq.read_schema(f"{tmp_path}/lineitem.parquet").names
     want = [("vec_id", True), ("embedding, list, element", False), ("label", True)] * 4 + [(x, True) for x in names] * n
     assert sorted(tuple(r) for r in queries.md_columns_readable(spark, str(tmp_path)).collect()) == sorted(want) and n > 1
+
+
+def test_the_schema_query_numbers_the_elements_of_all_files(spark, tmp_path):
+    in_two(tmp_path, "embeddings")
+    got = sorted((r.ordinal, r.name) for r in queries.md_schema(spark, str(tmp_path)).collect())
+    assert got == list(enumerate(["schema", "vec_id", "embedding", "list", "element", "label"] * 2))
